@@ -105,6 +105,8 @@ def keep(docs: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
     rows = scratch.cut(counts(docs), "counts")
     bad = host_verdicts(rows, max_rate).filter(~F.col("host_kept")).select("host")
     whole = docs.select(F.struct(*docs.columns).alias("_doc"), docs["doc_id"].alias("doc_id"), docs["source"].alias("source"), docs["text"].alias("text"))
-    good = counts(whole, F.col("_doc")).filter(f"not ({RULES['short']}) and not ({RULES['repetitive']})")
+    # The row number keeps the filter above the counts: pushed below them, it would count anew for each word.
+    good = counts(whole, F.col("_doc")).withColumn("_row", F.monotonically_increasing_id())
+    good = good.filter(f"_row >= 0 and not ({RULES['short']}) and not ({RULES['repetitive']})")
     good = good.join(bad.withColumnRenamed("host", "_bad"), F.col("host").eqNullSafe(F.col("_bad")), "left_anti")
     return good.select("_doc.*")
