@@ -1,10 +1,10 @@
 """Exact BPE ids at several times the library's own speed on natural text.
 
-The byte-level pre-tokenizer always starts a new word at a space that is followed by a character
-that is no white space, and byte-level BPE never merges across words. A text may therefore be cut at
-those spaces, every distinct piece be encoded once by the ``tokenizers`` library, and the ids be
-joined. What was encoded is kept in dictionaries of bounded size for the life of a Python worker.
-Tokenizers of another kind get whole texts.
+Byte-level BPE never merges across the words that its pre-tokenizer finds. A text may therefore be
+cut where a word surely begins, every distinct piece be encoded once by the ``tokenizers`` library,
+and the ids be joined. What was encoded is kept in dictionaries of bounded size for the life of a
+Python worker. Texts beyond the Latin blocks are cut at white space only, and tokenizers of another
+kind get whole texts.
 """
 
 from __future__ import annotations
@@ -22,10 +22,11 @@ from tokenizers import Tokenizer, pre_tokenizers
 
 #: White space as Unicode's property has it, which the library's pattern uses.
 _WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-_ODD_SPACE = re.compile(f" (?:[{_WHITE}]|\\Z)")
 _CHUNK = re.compile(f" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
-#: A word of Latin letters, and what follows it if that begins with an ASCII character of another class.
-_WORD = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([\x21-\x40\x5b-\x60\x7b-\x7e].*)?", re.S)
+#: For texts of ASCII and the Latin blocks the library's pattern can be said exactly, letters first.
+_OUTSIDE = re.compile("[^\\x00-ɏ]")
+_LETTER, _NUMBER = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾"
+_PRE_TOKEN = re.compile(f" ?[{_LETTER}]+|'(?:[stmd]|re|ve|ll)| ?[{_NUMBER}]+| ?[^{_WHITE}{_LETTER}{_NUMBER}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
 #: Longer pieces are encoded each time they come and not kept.
 _LONGEST_KEPT = 80
 
@@ -33,7 +34,7 @@ _LONGEST_KEPT = 80
 class Encoder:
     """Encodes batches of texts; the ids come as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, tokenizer_json: str, most_kept: int = 600_000):
+    def __init__(self, tokenizer_json: str, most_kept: int = 900_000):
         self._library = Tokenizer.from_str(tokenizer_json)
         self._library.no_padding()
         self._library.no_truncation()
@@ -46,56 +47,36 @@ class Encoder:
         self.cuts = self.cuts and len(line_end) == 1
         if self.cuts:
             self._line_end = line_end[0]
+            self._spaced = np.array([(self._library.id_to_token(k) or "")[:1] == "Ġ" for k in range(self._library.get_vocab_size())])
             self._single = Tokenizer.from_str(tokenizer_json)
             self._single.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self._added = [x.content for x in self._library.get_added_tokens_decoder().values()]
         self._most = most_kept
-        self._first: dict[str, bytes] = {}
-        self._inner: dict[str, bytes] = {}
-        self._words: dict[str, bytes] = {}
-        self._other: dict[str, bytes] = {"": b""}
+        self._kept: dict[str, bytes] = {}
+        self._chunks: dict[str, bytes] = {}
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self._library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn_words(self, words: list[str]) -> None:
-        """words: each a single word to the pre-tokenizer, without special tokens."""
+    def _learn(self, words: list[str], spaced: bool) -> None:
+        """words: each a single word to the pre-tokenizer, without special tokens; all with or all without a space before.
+
+        Only a word's first id can begin with a space; words without one are parted by line ends.
+        """
         for at in range(0, len(words), 4000):
-            some = words[at : at + 4000]
-            listed = ["\n"] * (2 * len(some))  # a line end is one id, which no word of letters has
-            listed[::2] = some
+            some = listed = words[at : at + 4000]
+            if not spaced:
+                listed = ["\n"] * (2 * len(some))
+                listed[::2] = some
             ids = np.asarray(self._single.encode_batch_fast([listed], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
+            ends = np.append(np.flatnonzero(self._spaced[ids])[1:], len(ids)).tolist() if spaced else np.flatnonzero(ids == self._line_end).tolist()
+            if len(ends) != len(some):
+                self._kept.update(zip(some, self._plain(some), strict=True))
+                continue
             raw, begin = ids.tobytes(), 0
-            for word, end in zip(some, np.flatnonzero(ids == self._line_end).tolist(), strict=True):
-                self._words[word] = raw[4 * begin : 4 * end]
-                begin = end + 1
-
-    def _learn(self, pieces: list[str], lead: str, into: dict[str, bytes]) -> None:
-        """Encodes each piece with ``lead`` before it."""
-        parts, words, other = [], set(), set()
-        for piece in pieces:
-            own = []
-            for chunk in _CHUNK.findall(lead + piece):
-                if (m := _WORD.fullmatch(chunk)) and len(chunk) <= _LONGEST_KEPT:
-                    own.append((m[1], m[2] or ""))
-                    words.add(m[1])
-                    other.add(m[2] or "")
-                else:
-                    own.append((None, chunk))
-                    other.add(chunk)
-            parts.append(own)
-        if len(self._words) > self._most:
-            self._words.clear()
-        if len(self._other) > self._most // 4:
-            self._other = {"": b""}
-        self._learn_words(list(words.difference(self._words)))
-        new = list(other.difference(self._other))
-        self._other.update(zip(new, self._plain(new), strict=True))
-        for piece, own in zip(pieces, parts, strict=True):
-            into[piece] = b"".join(self._other[x] if w is None else self._words[w] + self._other[x] for w, x in own)
-        for x in new:
-            if len(x) > _LONGEST_KEPT:
-                del self._other[x]
+            for word, end in zip(some, ends, strict=True):
+                self._kept[word] = raw[4 * begin : 4 * end]
+                begin = end + (not spaced)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.cuts:
@@ -109,29 +90,31 @@ class Encoder:
                 gc.enable()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        if len(self._inner) > self._most:
-            self._inner.clear()
-        if len(self._first) > self._most // 4:
-            self._first.clear()
-        cut: list[tuple[str | None, list[str]]] = []
+        if len(self._kept) > self._most:
+            self._kept.clear()
+        if len(self._chunks) > self._most // 4:
+            self._chunks.clear()
+        cut: list[tuple[dict[str, bytes], list[str]]] = []
         special: dict[int, bytes] = {}
         for x in texts:
             if any(y in x for y in self._added):  # white space before a special token is cut otherwise
                 special[len(cut)] = self._plain([x])[0]
-                cut.append((None, []))
-            elif "  " in x or " \n" in x or x[-1:] == " " or ((not x.isascii() or "\t" in x or "\r" in x or "\v" in x or "\f" in x) and _ODD_SPACE.search(x)):
-                pieces = _CHUNK.findall(x)  # rare: spaces in a row; the chunks keep theirs, so they count as first pieces
-                cut.append((None, pieces))
+                cut.append((self._kept, []))
+            elif x.isascii() or not _OUTSIDE.search(x):
+                cut.append((self._kept, _PRE_TOKEN.findall(x)))
             else:
-                pieces = x.split(" ")
-                cut.append((pieces[0], pieces[1:]))
-        inner, first = self._inner, self._first
-        if new := list(set(chain.from_iterable(p for h, p in cut if h is not None)).difference(inner)):
-            self._learn(new, " ", inner)
-        if odd := list({x for h, p in cut for x in (p if h is None else (h,))}.difference(first)):
-            self._learn(odd, "", first)
-        out = [b"".join(map(first.__getitem__, p)) if h is None else first[h] + b"".join(map(inner.__getitem__, p)) for h, p in cut]
-        for kept, names in ((inner, new), (first, odd)):
+                cut.append((self._chunks, _CHUNK.findall(x)))
+        words = list(set(chain.from_iterable(p for kept, p in cut if kept is self._kept)).difference(self._kept))
+        by: tuple[list[str], list[str], list[str]] = ([], [], [])
+        for x in words:
+            by[2 if "\n" in x else x[0] == " " and " " not in x[1:]].append(x)
+        self._learn(by[1], True)
+        self._learn(by[0], False)
+        self._kept.update(zip(by[2], self._plain(by[2]), strict=True))
+        chunks = list(set(chain.from_iterable(p for kept, p in cut if kept is self._chunks)).difference(self._chunks))
+        self._chunks.update(zip(chunks, self._plain(chunks), strict=True))
+        out = [b"".join(map(kept.__getitem__, p)) for kept, p in cut]
+        for kept, names in ((self._kept, words), (self._chunks, chunks)):
             for x in names:
                 if len(x) > _LONGEST_KEPT:
                     del kept[x]

@@ -7,7 +7,7 @@
   next WINDOW neighbours as long as they share MIN_DEPTH values: where a region is dense these are
   the ones that agree to a greater depth. Pairs whose sizes cannot reach the threshold go, and so do
   those whose 256 signature bits estimate a similarity more than six standard errors below it.
-* Candidates are confirmed on the full sets. First each class's best candidate is confirmed and
+* Candidates are confirmed on the full sets. In rounds, each class's best candidate is confirmed and
   the links are contracted to components; then every candidate between different components.
 
 A pair at similarity 0.8 shares MIN_DEPTH values in none of 32 trees with a chance below 1e-7.
@@ -29,6 +29,8 @@ from .components import components
 TREES, DEPTH, MIN_DEPTH, WINDOW = 32, 8, 4, 32
 VALUES = TREES * DEPTH
 SHINGLE_WORDS, SIMILARITY = 5, 80
+#: Most rounds of best candidates before all that are left are confirmed.
+ROUNDS = 5
 #: Bytes of ids that may be broadcast; a larger side is joined by shuffling.
 BROADCAST_BYTES = 32 << 20
 SETS = "doc_id long, n_shingles long, class_key binary, signature binary"
@@ -201,11 +203,8 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() * 16 <= BROADCAST_BYTES else df
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, scratch: common.Scratch, name: str, size: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) that are similar on their full sets. Only texts that are needed move."""
-    ends = scratch.cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"{name}-ends")
-    texts = docs.join(_small(ends), "doc_id", "left_semi").dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text")
-    texts = scratch.cut(texts, f"{name}-texts")
+def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) that are similar on their full sets."""
     left, right = (texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
     both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
 
@@ -223,9 +222,43 @@ def confirmed(pairs: DataFrame, docs: DataFrame, scratch: common.Scratch, name:
 
         return f
 
-    out = scratch.cut(common.map_arrow(both, make, "a long, b long", text=2), f"{name}-links")
-    scratch.drop(f"{name}-ends", f"{name}-texts")
-    return out
+    return common.map_arrow(both, make, "a long, b long", text=2)
+
+
+def linked(pairs: DataFrame, docs: DataFrame, scratch: common.Scratch, size: int, percent: int) -> DataFrame:
+    """(node, component) over the confirmed ones of ``pairs`` (a, b, apart).
+
+    In rounds, each node's best pair between different components is confirmed and components are
+    contracted, as long as the pairs are many for the nodes they have; then all that are left and
+    still lie between different components. Only texts of nodes with pairs move.
+    """
+    ends = scratch.cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ends")
+    texts = docs.join(_small(ends), "doc_id", "left_semi").dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text")
+    texts = scratch.cut(texts, "texts")
+    label: DataFrame | None = None
+    k = 0
+    while (n := pairs.count()) or label is None:
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("x")).distinct().count()
+        if n > 1.5 * nodes and k < ROUNDS or not k:
+            both = pairs.select(F.col("a").alias("node"), "apart", "a", "b").unionByName(pairs.select(F.col("b").alias("node"), "apart", "a", "b"))
+            now = scratch.cut(both.groupBy("node").agg(F.min(F.struct("apart", "a", "b")).alias("x")).select("x.a", "x.b").distinct(), f"best{k}")
+            rest = pairs.join(now, ["a", "b"], "left_anti")
+        else:
+            now, rest = pairs, None
+        links = scratch.cut(confirmed(now, texts, size, percent), f"links{k}")
+        if label is not None:
+            old = [label.select(F.col("node").alias(c), F.col("component").alias(f"_{c}")) for c in "ab"]
+            links = links.join(old[0], "a", "left").join(old[1], "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+            links = links.unionByName(label.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        label = components(links, scratch, f"label{k}")
+        if rest is None:
+            break
+        at = [label.select(F.col("node").alias(c), F.col("component").alias(f"_{c}")) for c in "ab"]
+        rest = rest.join(at[0], "a", "left").join(at[1], "b", "left").filter(F.coalesce("_a", "a") != F.coalesce("_b", "b"))
+        pairs = scratch.cut(rest.select("a", "b", "apart"), f"rest{k}")
+        k += 1
+    scratch.drop("ends", "texts")
+    return label
 
 
 def group(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = SIMILARITY) -> DataFrame:
@@ -246,20 +279,11 @@ def group(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = SI
     classes = own.filter("class_key is not null").groupBy("class_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
     classes = scratch.cut(classes, "classes")
     pairs = candidates(classes.filter("rep is not null"), scratch, percent)
-    ends = pairs.select(F.col("a").alias("node"), "a", "b", "apart").unionByName(pairs.select(F.col("b").alias("node"), "a", "b", "apart"))
-    best = ends.groupBy("node").agg(F.min(F.struct("apart", "a", "b")).alias("x")).select("x.a", "x.b").distinct()
-    links = confirmed(best, docs, scratch, "best", shingle_words, percent)
-    label = components(links, scratch, "first")
-    at_a, at_b = (label.select(F.col("node").alias(c), F.col("component").alias(f"_{c}")) for c in "ab")
-    rest = pairs.select("a", "b").join(best, ["a", "b"], "left_anti").join(at_a, "a", "left").join(at_b, "b", "left")
-    rest = scratch.cut(rest.filter(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b"), "rest")
-    more = confirmed(rest, docs, scratch, "rest", shingle_words, percent)
-    joined = label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
-    label = components(joined, scratch, "last")
+    label = linked(pairs, docs, scratch, shingle_words, percent)
     # Two classes of one doc_id (repeated doc_ids with different texts) share their component.
     named = classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("class_key", F.coalesce("component", "rep").alias("component_id"))
     named = scratch.cut(named, "named")
-    scratch.drop("classes", "candidates", "rest")
+    scratch.drop("classes", "candidates")
     rows = own.select("doc_id", "n_shingles", "class_key").join(named, "class_key", "left")
     component = F.when(F.col("class_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

@@ -13,6 +13,7 @@ with a document: a segment pads at most one more window, 1 in 4096, and bounds a
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from collections import deque
@@ -34,6 +35,7 @@ UNPADDED = (256, 512)
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+@functools.lru_cache(maxsize=1)
 def sentence_ends(tokens: str) -> tuple[np.ndarray, np.ndarray]:
     """Of each id: may it end a sentence; does it begin with white space."""
     from tokenizers import Tokenizer
