@@ -2,5 +2,330 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import cleaning, html, text, urls
+from .functions.cleaning import UI_ARTIFACT_PATTERNS
+from .operators import site
+from .plans import site as plan
+from .sources import web
+
+START = "https://src0.example.org/en/"
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+_S = r"'^([^:/?#]+)://([^/?#]*)([^?#;]*)'"
+_PATH, _HOST, _BASE = f"regexp_extract(url, {_S}, 3)", f"regexp_extract(url, {_S}, 2)", f"regexp_extract(url, {_S}, 1) || '://' || regexp_extract(url, {_S}, 2)"
+_CANON = f"({_BASE} || coalesce(nullif(rtrim({_PATH}, '/'), ''), '/'))"
+_FILE = rf"(regexp_replace(regexp_replace(coalesce(nullif(trim({_PATH}, '/'), ''), 'index'), '\.html?$', ''), '[^\w/\-.]', '_', 'g') || '.md')"
+_NAV = "'" + urls.NAVIGABLE + "'"
+_SEG = rf"CASE WHEN regexp_extract({_PATH}, '^/*([^/]*)', 1) = '' THEN '/' ELSE '/' || regexp_extract({_PATH}, '^/*([^/]*)', 1) || '/' END"
+
+
+@query(f"SELECT page_id, {_CANON} AS canonical, {_HOST} AS host, {_PATH} AS path FROM pages")
+def url_canonicalize(spark, d):
+    u = F.col("url")
+    return _t(spark, d, "pages").select("page_id", urls.canonical(u).alias("canonical"), urls.host(u).alias("host"), urls.path(u).alias("path"))
+
+
+@query(f"SELECT page_id, {_FILE} AS md_path, NOT regexp_matches(lower({_PATH}), {_NAV}) AS navigable FROM pages")
+def url_to_path(spark, d):
+    return _t(spark, d, "pages").select("page_id", urls.to_file(F.col("url")).alias("md_path"), urls.navigable(F.col("url")).alias("navigable"))
+
+
+@query(f"""WITH t AS (SELECT {_SEG} AS segment, {_PATH} AS path, url FROM pages), r AS (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY path, url) AS k FROM t)
+SELECT segment, count(*) AS n, string_agg(path, ',' ORDER BY k) FILTER (k <= 5) AS paths, greatest(0, count(*) - 5)::BIGINT AS more FROM r GROUP BY segment""")
+def url_group_summary(spark, d):
+    return site.link_summary(_t(spark, d, "pages"))
+
+
+@query(f"""WITH a AS (SELECT url, 0 AS priority, page_id AS ord FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT url, 1, page_id FROM pages),
+b AS (SELECT *, {_CANON} AS canonical, row_number() OVER (PARTITION BY {_CANON} ORDER BY priority, ord, url) AS k FROM a)
+SELECT canonical, url, priority, ord FROM b WHERE k = 1""")
+def frontier_first_wins(spark, d):
+    """Two sources of one frontier: even pages come from the first, all pages from the second."""
+    p = _t(spark, d, "pages").select("url", F.col("page_id").alias("ord"))
+    both = p.filter("ord % 2 = 0").withColumn("priority", F.lit(0)).unionByName(p.withColumn("priority", F.lit(1)))
+    return site.frontier(both).select("canonical", "url", "priority", "ord")
+
+
+@query(rf"""WITH l AS (SELECT page_id, url, trim(regexp_extract(unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)), '^([^#]*)', 1)) AS h FROM pages),
+f AS (SELECT page_id, url, CASE WHEN h LIKE '/%' AND h NOT LIKE '//%' THEN {_BASE} || h ELSE h END AS x FROM l WHERE h <> '' AND NOT regexp_matches(h, '^(javascript|mailto|tel):'))
+SELECT page_id, count(*) AS n_internal, count(DISTINCT regexp_extract(x, {_S}, 3)) AS n_paths FROM f WHERE regexp_extract(x, {_S}, 2) = {_HOST} GROUP BY page_id""")
+def internal_links(spark, d):
+    p = _t(spark, d, "pages").select("page_id", F.explode(urls.internal_links(F.col("html"), F.col("url"))).alias("l"))
+    return p.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_internal"), F.countDistinct(urls.path(F.col("l"))).alias("n_paths"))
+
+
+@query(f"SELECT page_id, starts_with(url, 'https://') AND NOT regexp_matches({_PATH}, '(?i)(?:^|/)blog(?:/|$)') AND regexp_matches({_PATH}, '(?i)(?:^|/)en(?:/|$)') AS in_scope FROM pages")
+def scope_filter(spark, d):
+    scope = site.Scope("https://", ["/en/", "([bad"], ["/blog"])
+    return _t(spark, d, "pages").select("page_id", scope.column(F.col("url")).alias("in_scope"))
+
+
+_IN = f"starts_with(url, 'https://') AND regexp_matches({_PATH}, '(?i)(?:^|/)en(?:/|$)')"
+
+
+@query(f"SELECT count(*) FILTER ({_IN}) AS n_match, count(*) FILTER (NOT ({_IN})) AS n_reject FROM pages")
+def scope_validate(spark, d):
+    return site.scope_report(_t(spark, d, "pages").select("url"), site.Scope("https://", ["/en/"], []), START)
+
+
+@query(f"""WITH l AS (SELECT page_id, lower(regexp_extract({_PATH}, '(?i)^/([a-z]{{2}}(?:-[a-z]{{2,8}})?)/', 1)) AS loc FROM pages), c AS (SELECT loc, count(*) AS n FROM l WHERE loc <> '' GROUP BY 1)
+SELECT page_id FROM l WHERE (SELECT count(*) FROM l) < 10 OR (SELECT count(*) FROM c WHERE n >= 3) < 2 OR loc IN ('', 'en')""")
+def locale_dedup(spark, d):
+    return site.one_locale(_t(spark, d, "pages"), "https://x.org/en/docs").select("page_id")
+
+
+@query("SELECT url, page_id AS ord FROM pages ORDER BY page_id, url LIMIT 100")
+def cap_top_n(spark, d):
+    """The frontier's cap, which is a feature: the first 100 in its order."""
+    return site.top(_t(spark, d, "pages").select("url", F.col("page_id").alias("ord"), F.lit(0).alias("priority")), 100).select("url", "ord")
+
+
+@query(f"SELECT page_id, {' OR '.join(f'contains(lower({_PATH}), {s!r})' for s in ('/en/', *urls.DOC_SIGNALS))} AS is_doc FROM pages")
+def looks_like_doc(spark, d):
+    return _t(spark, d, "pages").select("page_id", urls.looks_like_doc(F.col("url"), START).alias("is_doc"))
+
+
+_H = r"'(?m)^#{1,6}[ \t]+'"
+
+
+@query(rf"""SELECT doc_id, len(regexp_extract_all(text, {_H})) AS n_headings, len(regexp_extract_all(text, '(?m)^```')) // 2 AS n_code, md5(text) AS content_hash, strlen(text) AS size_bytes, length(text) AS n_chars FROM documents""")
+def content_metrics(spark, d):
+    t = F.col("text")
+    return _t(spark, d, "documents").select("doc_id", text.headings(t).alias("n_headings"), text.code_blocks(t).alias("n_code"), text.content_hash(t).alias("content_hash"), text.size_bytes(t).alias("size_bytes"), F.length(t).cast("long").alias("n_chars"))
+
+
+@query("SELECT md5(text) AS content_hash, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")
+def exact_dup_docs(spark, d):
+    return _t(spark, d, "documents").groupBy(text.content_hash(F.col("text")).alias("content_hash")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id")).filter("n > 1")
+
+
+_TRIM = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+
+
+@query(rf"""WITH b AS (SELECT doc_id, unnest(string_split_regex(regexp_replace(text, '(^|\n)([^\S\n]*# [^\S\n]*\S)', '\1' || chr(10) || chr(10) || '\2', 'g'), '\n\s*\n')) AS x FROM documents),
+t AS (SELECT doc_id, {_TRIM.format('x')} AS x FROM b)
+SELECT doc_id, count(*) AS n_blocks, sum(length(trim(regexp_replace(x, '\s+', ' ', 'g'))))::BIGINT AS n_normal FROM t WHERE x <> '' GROUP BY 1""")
+def split_blocks(spark, d):
+    b = _t(spark, d, "documents").select("doc_id", F.explode(text.blocks(F.col("text"))).alias("b"))
+    return b.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_blocks"), F.sum(F.length(text.normal(F.col("b")))).alias("n_normal"))
+
+
+def _line_parts(spark, d):
+    """Lines as blocks, a source as a set of pages."""
+    return _t(spark, d, "documents").select("source", F.col("doc_id").alias("page"), F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("source", "page", "pos", text.strip(F.col("line")).alias("block")).filter("block <> ''")
+
+
+_PARTS = rf"""p AS MATERIALIZED (SELECT source, doc_id, pos, {_TRIM.format('x')} AS b FROM (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents) WHERE {_TRIM.format('x')} <> ''),
+k AS MATERIALIZED (SELECT *, CASE WHEN length(b) >= 15 THEN lower(trim(regexp_replace(b, '\s+', ' ', 'g'))) END AS norm FROM p),
+n AS (SELECT source, count(DISTINCT doc_id) AS n FROM k GROUP BY 1),
+r AS MATERIALIZED (SELECT k.source, norm, count(DISTINCT doc_id) AS pages FROM k JOIN n USING (source) WHERE norm IS NOT NULL GROUP BY k.source, norm, n.n HAVING n.n >= 3 AND count(DISTINCT doc_id) >= greatest(2, floor(n.n * RATIO)))"""
+
+
+@query(f"WITH {_PARTS.replace('RATIO', '0.1')} SELECT source, norm, pages FROM r")
+def repeated_blocks(spark, d):
+    return site.repeated_blocks(_line_parts(spark, d), 0.1, by=["source"])
+
+
+@query(f"WITH {_PARTS.replace('RATIO', '0.5')} SELECT source, norm, pages FROM r")
+def repeated_blocks_default(spark, d):
+    return site.repeated_blocks(_line_parts(spark, d), by=["source"])
+
+
+@query(f"""WITH {_PARTS.replace('RATIO', '0.1')}
+SELECT k.doc_id AS page, k.source, coalesce(string_agg(b, chr(10) ORDER BY pos) FILTER (r.norm IS NULL), '') AS content, count(r.norm) AS removed FROM k LEFT JOIN r ON k.source = r.source AND k.norm = r.norm GROUP BY 1, 2""")
+def remove_repeated(spark, d):
+    parts = _line_parts(spark, d)
+    return site.remove_repeated(parts, site.repeated_blocks(parts, 0.1, by=["source"]), by=["source"], joiner="\n")
+
+
+@query(f"""WITH {_PARTS.replace('RATIO', '0.1')}, c AS (SELECT k.doc_id, count(r.norm) AS c FROM k LEFT JOIN r ON k.source = r.source AND k.norm = r.norm GROUP BY 1)
+SELECT count(*) FILTER (c > 0) AS files, sum(c)::BIGINT AS blocks FROM c""")
+def dedup_stats(spark, d):
+    return remove_repeated(spark, d).agg(F.count_if(F.col("removed") > 0).alias("files"), F.sum("removed").alias("blocks"))
+
+
+def _sql_ui() -> str:
+    out = "text"
+    for p in UI_ARTIFACT_PATTERNS:
+        out = f"regexp_replace({out}, '(?im){p}', '', 'g')"
+    return out
+
+
+@query(f"SELECT doc_id, md5({_sql_ui()}) AS cleaned FROM documents")
+def ui_artifacts(spark, d):
+    return _t(spark, d, "documents").select("doc_id", F.md5(cleaning.ui_artifacts(F.col("text"))).alias("cleaned"))
+
+
+def _sql_encoding() -> str:
+    out = "text"
+    for a, b in [*cleaning.MOJIBAKE_FIXES, *cleaning.SMART_QUOTE_FIXES]:
+        out = f"replace({out}, '{a}', '{b.replace(chr(39), chr(39) * 2)}')"
+    return f"regexp_replace({out}, '{cleaning.EMOJI_RESIDUE}', '', 'g')".replace(r"\xc3\xc2", "ÃÂ").replace(r"\x80-\xbf", "\u0080-¿").replace(r"\xc2-\xc3", "Â-Ã")
+
+
+@query(f"SELECT doc_id, md5({_sql_encoding()}) AS cleaned FROM documents")
+def fix_encoding(spark, d):
+    return _t(spark, d, "documents").select("doc_id", F.md5(cleaning.encoding(F.col("text"))).alias("cleaned"))
+
+
+CASES = [
+    ("nav", "[Docs](/docs)[Blog](/blog)\nBack\nv4.1\n# Guide\ntext"),
+    ("dup", "# A\nx\n## B\ny\n## B\nz\n# a"),
+    ("anchor", "## H¶\n## [Name](#name)\n##\n[](#x)\ntext"),
+    ("toc", "# T\n\n* [One](#one)\n* [Two](#two)\n\nbody text here\n"),
+    ("code", "```language-js\nx\n```\n```Python\ny\n```\n```shiki\nz\n```\n```language-json\n{}\n```"),
+    ("space", "a  \n\n\n\n\n\nb\t\n"),
+    ("fence", "a\n```js\n\n```\nb\n```\n```\nc"),
+    ("foot", "one line\ntwo line\nthree line\nfour line\n\nCopyright 2020 X\nMenu"),
+]
+
+
+def _cases(spark):
+    return spark.createDataFrame(CASES, "name string, md string")
+
+
+_VALUES = "(VALUES " + ", ".join(f"('{n}', '{m}')" for n, m in CASES) + ") AS c(name, md)"
+
+
+@query(rf"SELECT name, regexp_replace(regexp_replace(array_to_string(list_transform(string_split(regexp_replace(md, '\n{{4,}}', chr(10) || chr(10) || chr(10), 'g'), chr(10)), lambda x: regexp_replace(x, '\s+$', '')), chr(10)), '^\s+', ''), '\s+$', '') AS out FROM {_VALUES}")
+def whitespace_rules(spark, d):
+    return _cases(spark).select("name", cleaning.whitespace(F.col("md")).alias("out"))
+
+
+@query(rf"SELECT name, regexp_replace(regexp_replace(md, '```\w*\n\s*\n```', '', 'g'), '```\w*\n```', '', 'g') AS out FROM {_VALUES}")
+def empty_fences(spark, d):
+    return _cases(spark).select("name", cleaning.empty_fences(F.col("md")).alias("out"))
+
+
+@query()
+def clean_full(spark, d):
+    """All cleaning steps on every document's text."""
+    return _t(spark, d, "documents").select("doc_id", cleaning.clean(F.col("text")).alias("cleaned"))
+
+
+@query()
+def clean_steps(spark, d):
+    """Each step alone on the inline cases."""
+    return _cases(spark).select("name", *[f(F.col("md")).alias(f.__name__) for f in cleaning.STEPS])
+
+
+ENGINE = [("same", 100, 100, 1, 1, 0, 0, 20, 20), ("long", 100, 200, 1, 1, 0, 0, 20, 20), ("heads", 100, 100, 1, 5, 0, 0, 20, 20), ("code", 100, 100, 1, 1, 0, 3, 20, 20), ("links", 100, 100, 1, 1, 0, 0, 4, 11), ("all", 10, 100, 0, 9, 0, 9, 0, 99), ("short", 200, 100, 1, 1, 0, 0, 20, 20)]
+_ENGINE = "variant string, a_length long, b_length long, a_headings long, b_headings long, a_code long, b_code long, a_links long, b_links long"
+
+
+@query(f"""WITH e AS (SELECT *, abs(b_length - a_length) / greatest(b_length, a_length, 1) AS diff_ratio FROM (VALUES {', '.join(map(str, ENGINE))}) AS t({', '.join(x.split()[0] for x in _ENGINE.split(', '))})),
+w AS (SELECT variant, diff_ratio, array_to_string(list_filter([CASE WHEN diff_ratio > 0.3 AND b_length > a_length THEN 'longer' END, CASE WHEN b_headings > a_headings + 3 THEN 'headings' END, CASE WHEN b_code > a_code + 2 THEN 'code' END, CASE WHEN a_links < 5 AND b_links > 10 THEN 'links' END], lambda x: x IS NOT NULL), '; ') AS reason FROM e)
+SELECT variant, CASE WHEN reason <> '' THEN 'selenium' ELSE 'curl' END AS mode, diff_ratio, reason FROM w""")
+def engine_choice(spark, d):
+    return site.engine_choice(spark.createDataFrame(ENGINE, _ENGINE))
+
+
+_DIRS = f"SELECT CASE WHEN contains(p, '/') THEN regexp_extract(p, '^(.*)/[^/]*$', 1) ELSE '.' END AS dir, string_agg(regexp_extract(p, '([^/]*)$', 1), ',' ORDER BY p) AS files FROM (SELECT {_FILE} AS p FROM pages) GROUP BY 1"
+
+
+@query(_DIRS)
+def dir_index(spark, d):
+    return site.dir_index(_t(spark, d, "pages").select(urls.to_file(F.col("url")).alias("path")))
+
+
+@query(f"SELECT '[Test Docs Index]|root: ./md/raw|{site.INSTRUCTION}|source: {START}|' || string_agg(dir || '/:{{' || files || '}}', '|' ORDER BY dir) || chr(10) AS index_line FROM ({_DIRS})")
+def compact_index(spark, d):
+    return site.compact_index(_t(spark, d, "pages").select(urls.to_file(F.col("url")).alias("path")), "Test", START)
+
+
+@query()
+def html_to_markdown(spark, d):
+    return plan.documents(_t(spark, d, "pages"))
+
+
+@query()
+def manifest(spark, d):
+    return plan.manifest(plan.documents(_t(spark, d, "pages")))
+
+
+@query()
+def docset_dedup(spark, d):
+    return plan.deduplicated(plan.wrapped(plan.documents(_t(spark, d, "pages"))))
+
+
+@query()
+def html_preview(spark, d):
+    return _t(spark, d, "pages").select("page_id", html.preview_udf("html").alias("preview"), html.sanitize_udf("html").alias("sanitized"))
+
+
+@query()
+def sitemap_titles(spark, d):
+    return _t(spark, d, "pages").select("page_id", urls.sitemap_title(urls.path(F.col("url"))).alias("title"))
+
+
+@query()
+def bfs_frontier(spark, d):
+    p = _t(spark, d, "pages").select("url", "html")
+    start = p.agg(F.min("url")).first()[0]
+    return site.crawl(p, start)
+
+
+_NS = "http://www.sitemaps.org/schemas/sitemap/0.9"
+MAPS = [("https://a.org/s.xml", f'<sitemapindex xmlns="{_NS}"><sitemap><loc>https://a.org/1.xml</loc></sitemap><sitemap><loc>https://a.org/2.xml</loc></sitemap></sitemapindex>'), ("https://a.org/1.xml", f'<urlset xmlns="{_NS}"><url><loc>https://a.org/x</loc></url><url><loc>https://a.org/y</loc></url></urlset>'), ("https://a.org/2.xml", f'<urlset xmlns="{_NS}"><url><loc> https://a.org/z </loc></url></urlset>'), ("https://a.org/3.xml", "<urlset><url><loc>https://a.org/no</loc></url></urlset>")]
+
+
+@query("SELECT * FROM (VALUES ('https://a.org/s.xml', 0, 'https://a.org/x'), ('https://a.org/s.xml', 1, 'https://a.org/y'), ('https://a.org/s.xml', 2, 'https://a.org/z')) AS t(location, pos, url)")
+def sitemap_parse(spark, d):
+    return web.sitemap_urls(spark.createDataFrame(MAPS, "location string, xml string"), spark.createDataFrame([("https://a.org/s.xml",), ("https://a.org/3.xml",)], "location string"))
+
+
+LEDGER = [("a", "success", 10), ("b", "failed", 0), ("c", "success", 5)]
+
+
+@query("SELECT 2::BIGINT AS succeeded, 1::BIGINT AS failed, 15::BIGINT AS pages")
+def batch_totals(spark, d):
+    return site.batch_totals(spark.createDataFrame(LEDGER, "name string, status string, pages long"))
+
+
+@query("SELECT * FROM (VALUES ('b'), ('d')) AS t(name)")
+def pending_sites(spark, d):
+    return site.pending(spark.createDataFrame([(x,) for x in "abcd"], "name string"), spark.createDataFrame(LEDGER, "name string, status string, pages long"))
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, count(DISTINCT l_suppkey) AS suppliers, sum(l_linenumber)::BIGINT AS numbers FROM lineitem GROUP BY 1, 2")
+def group_count(spark, d):
+    return _t(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("l_suppkey").alias("suppliers"), F.sum("l_linenumber").alias("numbers"))
+
+
+@query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders) WHERE k <= 3")
+def top_k_per_group(spark, d):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
+    return _t(spark, d, "orders").select("o_custkey", "o_orderkey", F.row_number().over(w).alias("k")).filter("k <= 3").drop("k")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def anti_join(spark, d):
+    o = _t(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return _t(spark, d, "customer").select("c_custkey").join(o, "c_custkey", "left_anti")
+
+
+@query("SELECT user_id, string_agg(event_type, ',' ORDER BY ts, event_id) AS events FROM events GROUP BY 1")
+def ordered_concat(spark, d):
+    own = F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type")))
+    return _t(spark, d, "events").groupBy("user_id").agg(F.array_join(F.transform(own, lambda x: x["event_type"]), ",").alias("events"))
