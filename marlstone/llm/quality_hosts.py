@@ -24,6 +24,8 @@ RULES = {
 }
 #: Hosts whose shrunken failure rate is above this lose all their documents.
 MAX_RATE = 0.9
+#: Bytes of rejected hosts' names that may be broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
 def _repeat_words(hashes: Column, order: Column) -> Column:
@@ -103,10 +105,13 @@ def keep(docs: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
     """The documents that ``judge`` keeps, with all columns as they were."""
     scratch = common.Scratch(docs.sparkSession, "quality")
     rows = scratch.cut(counts(docs), "counts")
-    bad = host_verdicts(rows, max_rate).filter(~F.col("host_kept")).select("host")
+    bad = scratch.cut(host_verdicts(rows, max_rate).filter(~F.col("host_kept")).select(F.col("host").alias("_bad")), "bad")
+    held = bad.agg(F.sum(F.coalesce(F.octet_length("_bad"), F.lit(0)) + F.lit(32)).alias("x")).first()["x"] or 0
+    if held <= BROADCAST_BYTES:  # else the documents are dealt by host
+        bad = F.broadcast(bad)
     whole = docs.select(F.struct(*docs.columns).alias("_doc"), docs["doc_id"].alias("doc_id"), docs["source"].alias("source"), docs["text"].alias("text"))
     # The row number keeps the filter above the counts: pushed below them, it would count anew for each word.
     good = counts(whole, F.col("_doc")).withColumn("_row", F.monotonically_increasing_id())
     good = good.filter(f"_row >= 0 and not ({RULES['short']}) and not ({RULES['repetitive']})")
-    good = good.join(bad.withColumnRenamed("host", "_bad"), F.col("host").eqNullSafe(F.col("_bad")), "left_anti")
+    good = good.join(bad, F.col("host").eqNullSafe(F.col("_bad")), "left_anti")
     return good.select("_doc.*")
