@@ -29,8 +29,8 @@ from .components import components
 TREES, DEPTH, MIN_DEPTH, WINDOW = 32, 8, 4, 32
 VALUES = TREES * DEPTH
 SHINGLE_WORDS, SIMILARITY = 5, 80
-#: Most rounds of best candidates before all that are left are confirmed.
-ROUNDS = 5
+#: A round that leaves more than this share of the candidates open is the last of best candidates only.
+FRUITFUL = 2 / 3
 #: Bytes of ids that may be broadcast; a larger side is joined by shuffling.
 BROADCAST_BYTES = 32 << 20
 SETS = "doc_id long, n_shingles long, class_key binary, signature binary"
@@ -229,33 +229,35 @@ def linked(pairs: DataFrame, docs: DataFrame, scratch: common.Scratch, size: int
     """(node, component) over the confirmed ones of ``pairs`` (a, b, apart).
 
     In rounds, each node's best pair between different components is confirmed and components are
-    contracted, as long as the pairs are many for the nodes they have; then all that are left and
-    still lie between different components. Only texts of nodes with pairs move.
+    contracted, as long as the pairs are many for the nodes they have and the rounds settle many of
+    them; then all that are left and still lie between different components. Only texts of nodes
+    with pairs move.
     """
     ends = scratch.cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ends")
     texts = docs.join(_small(ends), "doc_id", "left_semi").dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text")
     texts = scratch.cut(texts, "texts")
     label: DataFrame | None = None
-    k = 0
+    k, before = 0, None
     while (n := pairs.count()) or label is None:
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("x")).distinct().count()
-        if n > 1.5 * nodes and k < ROUNDS or not k:
+        many = (before is None or n <= FRUITFUL * before) and n > 1.5 * pairs.select(F.explode(F.array("a", "b")).alias("x")).distinct().count()
+        if many or not k:
             both = pairs.select(F.col("a").alias("node"), "apart", "a", "b").unionByName(pairs.select(F.col("b").alias("node"), "apart", "a", "b"))
             now = scratch.cut(both.groupBy("node").agg(F.min(F.struct("apart", "a", "b")).alias("x")).select("x.a", "x.b").distinct(), f"best{k}")
-            rest = pairs.join(now, ["a", "b"], "left_anti")
+            last = False
         else:
-            now, rest = pairs, None
+            now, last = pairs, True
         links = scratch.cut(confirmed(now, texts, size, percent), f"links{k}")
         if label is not None:
             old = [label.select(F.col("node").alias(c), F.col("component").alias(f"_{c}")) for c in "ab"]
             links = links.join(old[0], "a", "left").join(old[1], "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
             links = links.unionByName(label.select(F.col("node").alias("a"), F.col("component").alias("b")))
         label = components(links, scratch, f"label{k}")
-        if rest is None:
+        if last:
             break
         at = [label.select(F.col("node").alias(c), F.col("component").alias(f"_{c}")) for c in "ab"]
-        rest = rest.join(at[0], "a", "left").join(at[1], "b", "left").filter(F.coalesce("_a", "a") != F.coalesce("_b", "b"))
-        pairs = scratch.cut(rest.select("a", "b", "apart"), f"rest{k}")
+        rest = pairs.join(at[0], "a", "left").join(at[1], "b", "left").filter(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b", "apart")
+        # What is confirmed lies within a component by now; what is refuted must not come again.
+        pairs, before = scratch.cut(rest.join(now, ["a", "b"], "left_anti"), f"rest{k}"), n
         k += 1
     scratch.drop("ends", "texts")
     return label
