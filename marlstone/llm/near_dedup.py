@@ -4,11 +4,14 @@
   which one representative (least doc_id) stands for from there on.
 * Each class gets TREES sequences of DEPTH MinHash values. Tree by tree the classes are sorted by
   their sequence; neighbours in that order have the longest common prefixes. A class looks at its
-  next WINDOW neighbours as long as they share MIN_DEPTH values: where a region is dense these are
-  the ones that agree to a greater depth. Pairs whose sizes cannot reach the threshold go, and so do
-  those whose 256 signature bits estimate a similarity more than six standard errors below it.
-* Candidates are confirmed on the full sets. In rounds, each class's best candidate is confirmed and
-  the links are contracted to components; then every candidate between different components.
+  next neighbours as long as they share MIN_DEPTH values: where a region is dense these are the ones
+  that agree to a greater depth. Pairs whose sizes cannot reach the threshold go, and so do those
+  whose 256 signature bits estimate a similarity more than six standard errors below it.
+* The first pass looks at NEAREST neighbours. Candidates are confirmed on the full sets: in rounds,
+  each class's best candidate is confirmed and the links are contracted to components; then every
+  candidate between different components.
+* Classes of dense regions, where more than NEAREST neighbours share MIN_DEPTH values, go through a
+  second pass to WINDOW neighbours. There only pairs of different components are candidates.
 
 A pair at similarity 0.8 shares MIN_DEPTH values in none of 32 trees with a chance below 1e-7.
 """
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 from . import common
 from .components import components
 
-TREES, DEPTH, MIN_DEPTH, WINDOW = 32, 8, 4, 32
+TREES, DEPTH, MIN_DEPTH, NEAREST, WINDOW = 32, 8, 4, 4, 32
 VALUES = TREES * DEPTH
 SHINGLE_WORDS, SIMILARITY = 5, 80
 #: A round that leaves more than this share of the candidates open is the last of best candidates only.
@@ -95,107 +98,116 @@ def _bits(column: pa.Array, size: int) -> np.ndarray:
 
 
 def _forest(classes: DataFrame) -> DataFrame:
-    """A row for each class and tree: tree, path, rep, n, and the signature's 256 lowest bits."""
+    """A row for each class and tree: tree, path, rep, part, n, and the signature's 256 lowest bits."""
 
     def make():
         def f(rows: pa.RecordBatch) -> pa.RecordBatch:
             n = rows.num_rows
-            values = _bits(rows.column(2), 2 * VALUES)
+            values = _bits(rows.column(3), 2 * VALUES)
             sketch = np.packbits(values.reshape(n, VALUES, 2)[:, :, 1] & 1, axis=1)
             paths = values.reshape(n * TREES, 2 * DEPTH)
             fixed = lambda x: pa.FixedSizeBinaryArray.from_buffers(pa.binary(x.shape[1]), len(x), [None, pa.py_buffer(np.ascontiguousarray(x).tobytes())]).cast(pa.binary())
             again = lambda c: pa.array(np.repeat(c.to_numpy(zero_copy_only=False), TREES))
             return pa.RecordBatch.from_arrays(
-                [pa.array(np.tile(np.arange(TREES, dtype="i4"), n)), fixed(paths), again(rows.column(0)), again(rows.column(1)), fixed(np.repeat(sketch, TREES, axis=0))], names=["tree", "path", "rep", "n", "sketch"]
+                [pa.array(np.tile(np.arange(TREES, dtype="i4"), n)), fixed(paths), *map(again, rows.columns[:3]), fixed(np.repeat(sketch, TREES, axis=0))], names=["tree", "path", "rep", "part", "n", "sketch"]
             )
 
         return f
 
-    return common.map_arrow(classes.select("rep", "n", "signature"), make, "tree int, path binary, rep long, n long, sketch binary", text=2)
+    return common.map_arrow(classes.select("rep", "part", "n", "signature"), make, "tree int, path binary, rep long, part long, n long, sketch binary", text=3)
 
 
-#: kind 0: a candidate (a, b, apart). kind 1: a row at a partition's edge, to be compared across it.
+#: kind 0: a candidate (a, b, apart). kind 1: a row (a, of component b) at a partition's edge, to be
+#: compared across it. kind 2: a class (a) that more neighbours than the window share a prefix with.
 FOUND = "kind int, a long, b long, apart int, tree int, path binary, n long, sketch binary"
 
 
-def _neighbours(percent: int, edges_too: bool):
-    ratio = percent / 100
+def _found(kind: int, a, b, apart=None, tree=None, path=None, n=None, sketch=None) -> pa.RecordBatch:
+    k = len(a)
+    of = lambda x, t: pa.nulls(k, t) if x is None else pa.array([y.tobytes() for y in x] if t == pa.binary() else x, t)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.full(k, kind, "i4")), pa.array(a), pa.array(b), of(apart, pa.int32()), of(tree, pa.int32()), of(path, pa.binary()), of(n, pa.int64()), of(sketch, pa.binary())],
+        names=[x.split()[0] for x in FOUND.split(", ")],
+    )
+
+
+def _neighbours(percent: int, seen: int, window: int, edges_too: bool):
+    """Compares sorted rows with the neighbours beyond the first ``seen`` ones, up to ``window``."""
+    ratio, keep = percent / 100, window + 1
     # similarity <= 2 * (share of equal bits) - 1, with a standard error below 0.04
     most = int(VALUES * (1 - (1 + ratio - 0.225) / 2))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, first = None, None
+        held, first, total = None, None, 0
         for rows in it:
             if not rows.num_rows:
                 continue
-            now = [rows.column(0).to_numpy(), _bits(rows.column(1), 2 * DEPTH), rows.column(2).to_numpy(), rows.column(3).to_numpy(), _bits(rows.column(4), VALUES // 8)]
+            total += rows.num_rows
+            numbers = [rows.column(k).to_numpy() for k in (0, 2, 3, 4)]
+            now = [numbers[0], _bits(rows.column(1), 2 * DEPTH), *numbers[1:], _bits(rows.column(5), VALUES // 8)]
             old = 0 if held is None else len(held[0])
             if held is not None:
                 now = [np.concatenate([x, y]) for x, y in zip(held, now, strict=True)]
-            if first is None:
-                first = [x[:WINDOW] for x in now]
-            yield _close(*now, old, ratio, most)
-            held = [x[-WINDOW:].copy() for x in now]
+            if first is None or len(first[0]) < keep:
+                first = [x[:keep].copy() for x in now]
+            yield from _close(*now, old, ratio, most, seen, window)
+            held = [x[-keep:].copy() for x in now]
         if edges_too and held is not None:
-            for tree, path, rep, n, sketch in (first, held):
-                k = len(tree)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([1] * k, pa.int32()), pa.array(rep, pa.int64()), pa.array(rep, pa.int64()), pa.array([0] * k, pa.int32()), pa.array(tree, pa.int32()), pa.array([x.tobytes() for x in path], pa.binary()), pa.array(n, pa.int64()), pa.array([x.tobytes() for x in sketch], pa.binary())],
-                    names=[x.split()[0] for x in FOUND.split(", ")],
-                )
+            twice = max(0, len(first[0]) + len(held[0]) - total)
+            for tree, path, rep, part, n, sketch in (first, [x[twice:] for x in held]):
+                yield _found(1, rep, part, None, tree, path, n, sketch)
 
     return run
 
 
-def _close(tree, path, rep, n, sketch, old: int, ratio: float, most: int) -> pa.RecordBatch:
-    """Candidates of which the second row is not among the first ``old`` ones, those seen before.
+def _close(tree, path, rep, part, n, sketch, old: int, ratio: float, most: int, seen: int, window: int) -> Iterator[pa.RecordBatch]:
+    """Candidates of which the second row is not among the first ``old`` ones, those of the batch before.
 
-    A row goes on until it has met a neighbour that is surely close: from there on the chain of
-    neighbours goes on from that one.
+    A row that is surely close to a neighbour still looks further: what links to the one need not
+    link to the other.
     """
     prefix = np.ascontiguousarray(path[:, : 2 * MIN_DEPTH]).view(np.uint64).reshape(len(path), -1)
     bits = np.ascontiguousarray(sketch).view(np.uint64)
-    sure = int(VALUES * (1 - (1 + ratio + (1 - ratio) / 2) / 2))
-    open_ = np.ones(len(tree), bool)
-    out_a, out_b, out_d = [], [], []
-    for s in range(1, min(WINDOW, len(tree) - 1) + 1):
-        at = np.flatnonzero(open_[:-s])
-        same = (tree[at] == tree[at + s]) & (prefix[at] == prefix[at + s]).all(axis=1)
-        open_[at[~same]] = False
-        at = at[same]
+    at = np.arange(len(tree))
+    for s in range(1, window + 2):
+        at = at[at < len(tree) - s]
+        # Rows are sorted: who has no common prefix with one neighbour has none with those beyond it.
+        at = at[(tree[at] == tree[at + s]) & (prefix[at] == prefix[at + s]).all(axis=1)]
         if not len(at):
-            if not open_[:-s].any():
-                break
+            return
+        if s <= seen:
             continue
-        apart = np.bitwise_count(bits[at] ^ bits[at + s]).sum(axis=1, dtype=np.int64)
-        low, high = np.minimum(n[at], n[at + s]), np.maximum(n[at], n[at + s])
-        good = (apart <= most) & (low >= ratio * high - 1e-9) & (rep[at] != rep[at + s])
-        open_[at[good & (apart <= sure)]] = False
-        fresh = good & (at + s >= old)
-        out_a.append(rep[at[fresh]])
-        out_b.append(rep[at[fresh] + s])
-        out_d.append(apart[fresh])
-    a, b, d = (np.concatenate(x) if x else np.zeros(0, "i8") for x in (out_a, out_b, out_d))
-    k = len(a)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.zeros(k, "i4")), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(d.astype("i4")), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())],
-        names=[x.split()[0] for x in FOUND.split(", ")],
-    )
-
-
-def candidates(classes: DataFrame, scratch: common.Scratch, percent: int = SIMILARITY) -> DataFrame:
-    """(a, b, apart): pairs of representatives, a < b, each once."""
+        to = at[at + s >= old]
+        if s > window:
+            dense = np.unique(rep[(to[:, None] + np.arange(s + 1)).ravel()])
+            yield _found(2, dense, dense)
+            return
+        low, high = np.minimum(n[to], n[to + s]), np.maximum(n[to], n[to + s])
+        to = to[(part[to] != part[to + s]) & (rep[to] != rep[to + s]) & (low >= ratio * high - 1e-9)]
+        apart = np.bitwise_count(bits[to] ^ bits[to + s]).sum(axis=1, dtype=np.int32)
+        to, apart = to[apart <= most], apart[apart <= most]
+        if len(to):
+            yield _found(0, np.minimum(rep[to], rep[to + s]), np.maximum(rep[to], rep[to + s]), apart)
+
+
+def candidates(classes: DataFrame, scratch: common.Scratch, name: str, percent: int = SIMILARITY, seen: int = 0, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b, apart) of representatives of different parts, a < b, each once; and the dense region (rep).
+
+    ``classes`` has rep, part, n and signature. Neighbours up to ``seen`` have been compared before.
+    The dense region has all classes of runs in which a row has more than ``window`` neighbours that
+    share MIN_DEPTH values with it, so a later pass over it alone finds those runs whole.
+    """
     order = ["tree", "path", "rep"]
-    forest = _forest(classes)
-    dealt = forest.repartitionByRange(common.parts_for(classes), *order).sortWithinPartitions(*order)
-    found = scratch.cut(dealt.mapInArrow(_neighbours(percent, True), FOUND), "found")
-    # At most 2 * WINDOW rows of each partition; they meet in the same order in one task.
-    edge = found.filter("kind = 1").select("tree", "path", F.col("a").alias("rep"), "n", "sketch").coalesce(1).sortWithinPartitions(*order)
-    across = edge.mapInArrow(_neighbours(percent, False), FOUND)
-    pairs = found.filter("kind = 0").select("a", "b", "apart").unionByName(across.select("a", "b", "apart"))
-    out = scratch.cut(pairs.groupBy("a", "b").agg(F.min("apart").alias("apart")), "candidates")
-    scratch.drop("found")
-    return out
+    dealt = _forest(classes).repartitionByRange(common.parts_for(classes), *order).sortWithinPartitions(*order)
+    found = scratch.cut(dealt.mapInArrow(_neighbours(percent, seen, window, True), FOUND), f"{name}-found")
+    # At most 2 * window + 2 rows of each partition; they meet in the same order in one task.
+    edge = found.filter("kind = 1").select("tree", "path", F.col("a").alias("rep"), F.col("b").alias("part"), "n", "sketch").coalesce(1).sortWithinPartitions(*order)
+    across = scratch.cut(edge.mapInArrow(_neighbours(percent, seen, window, False), FOUND), f"{name}-across")
+    every = found.filter("kind <> 1").unionByName(across)
+    pairs = scratch.cut(every.filter("kind = 0").groupBy("a", "b").agg(F.min("apart").alias("apart")), f"{name}-pairs")
+    dense = scratch.cut(every.filter("kind = 2").select(F.col("a").alias("rep")).distinct(), f"{name}-dense")
+    scratch.drop(f"{name}-found", f"{name}-across")
+    return pairs, dense
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -206,7 +218,9 @@ def _small(df: DataFrame) -> DataFrame:
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) that are similar on their full sets."""
     left, right = (texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
-    both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+    # A pair has 16 bytes, but much work: dealt by bytes, all would come to one task.
+    dealt = pairs.select("a", "b").repartition(common.parts_for(pairs), "b").sortWithinPartitions("b")
+    both = dealt.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
 
     def make():
         last: list = [None, None]
@@ -225,6 +239,12 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return common.map_arrow(both, make, "a long, b long", text=2)
 
 
+def _texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, text) of the ends of ``pairs``."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    return docs.join(_small(ends), "doc_id", "left_semi").dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text")
+
+
 def linked(pairs: DataFrame, docs: DataFrame, scratch: common.Scratch, size: int, percent: int) -> DataFrame:
     """(node, component) over the confirmed ones of ``pairs`` (a, b, apart).
 
@@ -233,9 +253,7 @@ def linked(pairs: DataFrame, docs: DataFrame, scratch: common.Scratch, size: int
     them; then all that are left and still lie between different components. Only texts of nodes
     with pairs move.
     """
-    ends = scratch.cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ends")
-    texts = docs.join(_small(ends), "doc_id", "left_semi").dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text")
-    texts = scratch.cut(texts, "texts")
+    texts = scratch.cut(_texts(pairs, docs), "texts")
     label: DataFrame | None = None
     k, before = 0, None
     while (n := pairs.count()) or label is None:
@@ -258,11 +276,21 @@ def linked(pairs: DataFrame, docs: DataFrame, scratch: common.Scratch, size: int
         rest = pairs.join(at[0], "a", "left").join(at[1], "b", "left").filter(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b", "apart")
         # What is confirmed lies within a component by now; what is refuted must not come again.
         pairs, before = scratch.cut(rest.join(now, ["a", "b"], "left_anti"), f"rest{k}"), n
+        scratch.drop(f"best{k}", f"links{k}", *([f"rest{k - 1}"] if k else []))
         k += 1
-    scratch.drop("ends", "texts")
+    scratch.drop("texts")
     return label
 
 
+def extended(label: DataFrame, pairs: DataFrame, docs: DataFrame, scratch: common.Scratch, size: int, percent: int) -> DataFrame:
+    """(node, component) over ``label`` and the confirmed ones of ``pairs``, all between different components."""
+    texts = scratch.cut(_texts(pairs, docs), "more-texts")
+    links = scratch.cut(confirmed(pairs, texts, size, percent), "more-links")
+    scratch.drop("more-texts")
+    edges = links.unionByName(label.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    return components(edges, scratch, "more-label")
+
+
 def group(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable by links) and kept, per document.
 
@@ -280,12 +308,17 @@ def group(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = SI
     own = scratch.cut(sets(docs.select("doc_id", "text"), shingle_words), "sets")
     classes = own.filter("class_key is not null").groupBy("class_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
     classes = scratch.cut(classes, "classes")
-    pairs = candidates(classes.filter("rep is not null"), scratch, percent)
+    real = classes.filter("rep is not null")
+    pairs, dense = candidates(real.withColumn("part", F.col("rep")), scratch, "near", percent, 0, NEAREST)
     label = linked(pairs, docs, scratch, shingle_words, percent)
+    if dense.limit(1).count():
+        inside = real.join(_small(dense), "rep", "left_semi").join(label.withColumnRenamed("node", "rep"), "rep", "left")
+        pairs, _ = candidates(inside.withColumn("part", F.coalesce("component", "rep")), scratch, "far", percent, NEAREST, WINDOW)
+        label = extended(label, pairs, docs, scratch, shingle_words, percent)
     # Two classes of one doc_id (repeated doc_ids with different texts) share their component.
     named = classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("class_key", F.coalesce("component", "rep").alias("component_id"))
     named = scratch.cut(named, "named")
-    scratch.drop("classes", "candidates")
+    scratch.drop("classes", "near-pairs", "near-dense", "far-pairs", "far-dense")
     rows = own.select("doc_id", "n_shingles", "class_key").join(named, "class_key", "left")
     component = F.when(F.col("class_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

@@ -154,6 +154,21 @@ def test_near_dedup(spark, odd, none):
     assert got == brute_groups(made, 2, 80)
 
 
+@pytest.mark.parametrize("changes", [9])
+def test_near_dedup_dense(spark, changes):
+    """A region with many more alike texts than a pass looks at, in partitions of very different sizes."""
+    rng = np.random.default_rng(changes)
+    base = [f"w{k}" for k in rng.integers(0, 900, 120)]
+    made = []
+    for k in range(260):
+        w = list(base)
+        for at in rng.integers(0, 120, rng.integers(0, changes + 1)):
+            w[at] = f"n{rng.integers(0, 40)}"
+        made.append((k, " ".join(w)))
+    got = {x["doc_id"]: x["component_id"] for x in rows(near_dedup.group(spark.createDataFrame(made, "doc_id long, text string"), 2))}
+    assert got == brute_groups(made, 2, 80)
+
+
 def test_keep_one_keeps_columns(odd):
     out = near_dedup.keep_one(odd, 2)
     assert out.columns == odd.columns
