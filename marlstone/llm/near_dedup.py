@@ -12,6 +12,8 @@
   candidate between different components.
 * Classes of dense regions, where more than NEAREST neighbours share MIN_DEPTH values, go through a
   second pass to WINDOW neighbours. There only pairs of different components are candidates.
+* Classes that even more than WINDOW neighbours share MIN_DEPTH values with are joined exactly, by
+  their rarest shingles: two sets that reach the threshold share one of each other's prefix.
 
 A pair at similarity 0.8 shares MIN_DEPTH values in none of 32 trees with a chance below 1e-7.
 """
@@ -34,6 +36,10 @@ VALUES = TREES * DEPTH
 SHINGLE_WORDS, SIMILARITY = 5, 80
 #: A round that leaves more than this share of the candidates open is the last of best candidates only.
 FRUITFUL = 2 / 3
+#: Shingles are ordered by how often their bucket occurs; any order is right, rare ones first is fast.
+BUCKET_BITS = 18
+#: Rows of one shingle that are compared in one place; more are dealt in blocks.
+BLOCK = 1024
 #: Bytes of ids that may be broadcast; a larger side is joined by shuffling.
 BROADCAST_BYTES = 32 << 20
 SETS = "doc_id long, n_shingles long, class_key binary, signature binary"
@@ -210,6 +216,121 @@ def candidates(classes: DataFrame, scratch: common.Scratch, name: str, percent:
     return pairs, dense
 
 
+def _histogram(texts: DataFrame, size: int) -> np.ndarray:
+    """How often shingles occur, by the first BUCKET_BITS bits of their hash; of a fixed size."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << BUCKET_BITS, np.int64)
+        for rows in it:
+            for text in rows.column(0).to_pylist():
+                np.add.at(total, (shingle_hashes(text, size) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
+
+    found = texts.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(1 << BUCKET_BITS, np.int64)
+    out[found["bucket"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    return out
+
+
+def _prefixes(texts: DataFrame, often: np.ndarray, size: int, percent: int) -> DataFrame:
+    """For each text (doc_id, part, text) its rarest shingles: one must be shared by all that reach the threshold."""
+    held = texts.sparkSession.sparkContext.broadcast(often)
+
+    def make():
+        def f(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            for rep, part, text in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+                s = shingle_hashes(text, size)
+                n = len(s)
+                if not n:
+                    continue
+                p = n + (-percent * n) // 100 + 1
+                first = s[np.lexsort((s, held.value[(s >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]))][:p]
+                sketch = np.packbits((signature(s).astype("u2") & 1).astype("u1")).tobytes()
+                same = lambda x: pa.array(np.full(p, x, "i8"))  # noqa: E731, B023
+                yield pa.RecordBatch.from_arrays([pa.array(first.view(np.int64)), same(rep), same(part), same(n), pa.array(np.arange(p)), pa.array([sketch] * p, pa.binary())], names=["token", "rep", "part", "n", "pos", "sketch"])
+
+        return f
+
+    return common.map_arrow(texts.select("doc_id", "part", "text"), make, "token long, rep long, part long, n long, pos long, sketch binary", text=2)
+
+
+def _met(percent: int):
+    """Compares all rows of a key (token, i, j), sorted by n; i and j are blocks, of which pairs lie across."""
+    most = int(VALUES * (1 - (1 + percent / 100 - 0.225) / 2))
+
+    def close(token, i, j, own, rep, part, n, pos, sketch) -> Iterator[pa.RecordBatch]:
+        bits = np.ascontiguousarray(sketch).view(np.uint64)
+        at, got, k = np.arange(len(token)), [], 0
+        for s in range(1, len(token)):
+            at = at[at < len(token) - s]
+            to = at + s
+            # Sorted by n: who is too small for one row is too small for those beyond it.
+            good = (token[at] == token[to]) & (i[at] == i[to]) & (j[at] == j[to]) & (100 * n[at] >= percent * n[to])
+            at = at[good]
+            if not len(at):
+                break
+            x, y = at, at + s
+            ok = (part[x] != part[y]) & (rep[x] != rep[y]) & ((i[x] == j[x]) | (own[x] != own[y]))
+            ok &= (100 + percent) * np.minimum(n[x] - pos[x], n[y] - pos[y]) >= percent * (n[x] + n[y])
+            x, y = x[ok], y[ok]
+            apart = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int32)
+            ok = apart <= most
+            got.append((np.minimum(rep[x], rep[y])[ok], np.maximum(rep[x], rep[y])[ok], apart[ok]))
+            k += len(got[-1][0])
+            if k >= 1 << 18:
+                yield once(got)
+                got, k = [], 0
+        if k:
+            yield once(got)
+
+    def once(got) -> pa.RecordBatch:
+        a, b, apart = (np.concatenate(x) for x in zip(*got, strict=True))
+        order = np.lexsort((apart, b, a))
+        a, b, apart = a[order], b[order], apart[order]
+        new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+        return pa.RecordBatch.from_arrays([pa.array(x[new]) for x in (a, b, apart)], names=["a", "b", "apart"])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for rows in it:
+            if not rows.num_rows:
+                continue
+            now = [rows.column(c).to_numpy() for c in range(8)] + [_bits(rows.column(8), VALUES // 8)]
+            if held is not None:
+                now = [np.concatenate([x, y]) for x, y in zip(held, now, strict=True)]
+            other = np.flatnonzero((now[0] != now[0][-1]) | (now[1] != now[1][-1]) | (now[2] != now[2][-1]))
+            end = other[-1] + 1 if len(other) else 0  # the last key may go on in the next batch
+            if end:
+                yield from close(*(x[:end] for x in now))
+            held = [x[end:].copy() for x in now]
+        if held is not None:
+            yield from close(*held)
+
+    return run
+
+
+def all_candidates(region: DataFrame, docs: DataFrame, before: DataFrame, scratch: common.Scratch, size: int, percent: int) -> DataFrame:
+    """Pairs (a, b, apart) of different parts over ``region`` (rep, part), without those ``before`` (a, b).
+
+    A prefix-filtered set join: no bound on neighbours. A shingle that many prefixes have is dealt in
+    blocks, each pair of blocks in a place of its own.
+    """
+    own = region.select(F.col("rep").alias("doc_id"), "part")
+    texts = scratch.cut(docs.join(_small(own), "doc_id").dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "part", "text"), "rest-texts")
+    rows = scratch.cut(_prefixes(texts, _histogram(texts, size), size, percent), "rest-prefixes")
+    counts = rows.groupBy("token").agg(F.count(F.lit(1)).alias("c"))
+    shared = counts.filter("c > 1").select("token", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
+    rows = rows.join(shared, "token").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("token", F.least("own", "other").cast("int").alias("i"), F.greatest("own", "other").cast("int").alias("j"), "own", "rep", "part", "n", "pos", "sketch")
+    dealt = dealt.repartition(common.parts_for(dealt), "token", "i", "j").sortWithinPartitions("token", "i", "j", "n", "rep")
+    found = dealt.mapInArrow(_met(percent), "a long, b long, apart int").unionByName(before.select("a", "b", F.lit(-1).alias("apart")))
+    pairs = scratch.cut(found.groupBy("a", "b").agg(F.min("apart").alias("apart")).filter("apart >= 0"), "rest-pairs")
+    scratch.drop("rest-texts", "rest-prefixes")
+    return pairs
+
+
 def _small(df: DataFrame) -> DataFrame:
     """Broadcast if a count shows that 16 bytes a row stay below the limit."""
     return F.broadcast(df) if df.count() * 16 <= BROADCAST_BYTES else df
@@ -282,13 +403,13 @@ def linked(pairs: DataFrame, docs: DataFrame, scratch: common.Scratch, size: int
     return label
 
 
-def extended(label: DataFrame, pairs: DataFrame, docs: DataFrame, scratch: common.Scratch, size: int, percent: int) -> DataFrame:
+def extended(label: DataFrame, pairs: DataFrame, docs: DataFrame, scratch: common.Scratch, name: str, size: int, percent: int) -> DataFrame:
     """(node, component) over ``label`` and the confirmed ones of ``pairs``, all between different components."""
-    texts = scratch.cut(_texts(pairs, docs), "more-texts")
-    links = scratch.cut(confirmed(pairs, texts, size, percent), "more-links")
-    scratch.drop("more-texts")
+    texts = scratch.cut(_texts(pairs, docs), f"{name}-texts")
+    links = scratch.cut(confirmed(pairs, texts, size, percent), f"{name}-links")
+    scratch.drop(f"{name}-texts")
     edges = links.unionByName(label.select(F.col("node").alias("a"), F.col("component").alias("b")))
-    return components(edges, scratch, "more-label")
+    return components(edges, scratch, f"{name}-label")
 
 
 def group(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = SIMILARITY) -> DataFrame:
@@ -313,12 +434,16 @@ def group(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = SI
     label = linked(pairs, docs, scratch, shingle_words, percent)
     if dense.limit(1).count():
         inside = real.join(_small(dense), "rep", "left_semi").join(label.withColumnRenamed("node", "rep"), "rep", "left")
-        pairs, _ = candidates(inside.withColumn("part", F.coalesce("component", "rep")), scratch, "far", percent, NEAREST, WINDOW)
-        label = extended(label, pairs, docs, scratch, shingle_words, percent)
+        far, dense = candidates(inside.withColumn("part", F.coalesce("component", "rep")), scratch, "far", percent, NEAREST, WINDOW)
+        label = extended(label, far, docs, scratch, "far", shingle_words, percent)
+        if dense.limit(1).count():
+            region = dense.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("part"))
+            rest = all_candidates(region, docs, pairs.select("a", "b").unionByName(far.select("a", "b")), scratch, shingle_words, percent)
+            label = extended(label, rest, docs, scratch, "rest", shingle_words, percent)
     # Two classes of one doc_id (repeated doc_ids with different texts) share their component.
     named = classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("class_key", F.coalesce("component", "rep").alias("component_id"))
     named = scratch.cut(named, "named")
-    scratch.drop("classes", "near-pairs", "near-dense", "far-pairs", "far-dense")
+    scratch.drop("classes", "near-pairs", "near-dense", "far-pairs", "far-dense", "rest-pairs")
     rows = own.select("doc_id", "n_shingles", "class_key").join(named, "class_key", "left")
     component = F.when(F.col("class_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

@@ -169,6 +169,34 @@ def test_near_dedup_dense(spark, changes):
     assert got == brute_groups(made, 2, 80)
 
 
+def test_near_dedup_template(spark):
+    """Texts that share a template, nearly all just below the threshold: more than any window covers."""
+    rng = np.random.default_rng(12)
+    made = []
+    for k in range(1600):
+        w = [f"t{x}" for x in range(100)]
+        for at in range(50, 62):
+            w[at] = f"f{rng.integers(0, 10**6)}"
+        made.append(w)
+    for a in range(0, 120, 2):  # a quarter of the fillers of the one in the other
+        b = 1599 - a
+        made[b][50:53] = made[a][50:53]
+    texts = [(k, " ".join(w)) for k, w in enumerate(made)]
+    sets = [set(zip(w, w[1:], strict=False)) for w in made]
+    names = {x: k for k, x in enumerate(sorted(set().union(*sets)))}
+    m = np.zeros((len(sets), len(names)), np.float32)
+    for k, s in enumerate(sets):
+        m[k, [names[x] for x in s]] = 1
+    both, n = m @ m.T, m.sum(axis=1)
+    links = np.argwhere(np.triu(100 * both >= 80 * (n[:, None] + n[None] - both), 1))
+    want = list(range(len(sets)))
+    for a, b in sorted(links.tolist()):
+        want[b] = min(want[b], want[a])
+    assert 50 < len(links) < 200 and len({x for pair in links.tolist() for x in pair}) == 2 * len(links)
+    got = {x["doc_id"]: x["component_id"] for x in rows(near_dedup.group(spark.createDataFrame(texts, "doc_id long, text string"), 2))}
+    assert got == dict(enumerate(want))
+
+
 def test_keep_one_keeps_columns(odd):
     out = near_dedup.keep_one(odd, 2)
     assert out.columns == odd.columns
