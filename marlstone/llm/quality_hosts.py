@@ -15,7 +15,8 @@ from . import common
 WORD = r"[^\x20\x09-\x0D]+"
 WHITE = r"[\x20\x09-\x0D]"
 SYMBOL = r"[#*$%&|<>]"
-#: A document that breaks one of these rules fails. The first two reject it by themselves.
+#: A document that breaks one of these rules fails. ``keep`` rejects it; in ``judge`` the first two do so
+#: by themselves and the others count for the host.
 RULES = {
     "short": "n_words < 50",
     "repetitive": "100 * n_repeat_words > 50 * n_words",
@@ -24,6 +25,9 @@ RULES = {
 }
 #: Hosts whose shrunken failure rate is above this lose all their documents.
 MAX_RATE = 0.9
+#: ``keep`` drops all documents of a host of which it is sure, by so many standard deviations of the
+#: posterior, that more than this share fails.
+MOST, SURE = 0.5, 3.09
 #: Bytes of rejected hosts' names that may be broadcast.
 BROADCAST_BYTES = 32 << 20
 
@@ -58,7 +62,7 @@ def counts(docs: DataFrame, *keep: Column) -> DataFrame:
 
 
 def host_verdicts(rows: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
-    """host, rows, failures by rule, shrunken rate, host_kept. A null host is a host of its own."""
+    """host, rows, failures by rule, shrunken rate, host_kept, the posterior's lower bound. A null host is a host of its own."""
     hosts = rows.groupBy("host").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.expr(" or ".join(f"({x})" for x in RULES.values()))).alias("failed"),
         *[F.count_if(F.expr(x)).alias(f"failed_{k}") for k, x in RULES.items()],
@@ -68,7 +72,8 @@ def host_verdicts(rows: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
     at = hosts.agg(F.sum("failed").alias("f"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), F.sum(F.col("n") * rate * rate).alias("s2")).first()
     alpha, beta = beta_prior(at["f"] or 0, at["n"] or 0, at["k"], at["s2"] or 0.0)
     shrunk = (F.col("failed") + F.lit(alpha)) / (F.col("n") + F.lit(alpha + beta))
-    return hosts.withColumn("rate", shrunk).withColumn("host_kept", F.col("rate") <= F.lit(max_rate))
+    spread = F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("n") + F.lit(alpha + beta + 1)))
+    return hosts.withColumn("rate", shrunk).withColumn("host_kept", F.col("rate") <= F.lit(max_rate)).withColumn("rate_low", F.col("rate") - SURE * spread)
 
 
 def beta_prior(failed: int, n: int, hosts: int, squares: float) -> tuple[float, float]:
@@ -101,17 +106,17 @@ def judge(docs: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
     )
 
 
-def keep(docs: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
-    """The documents that ``judge`` keeps, with all columns as they were."""
+def keep(docs: DataFrame, most: float = MOST) -> DataFrame:
+    """The documents that break no rule, of hosts that are not surely bad, with all columns as they were."""
     scratch = common.Scratch(docs.sparkSession, "quality")
     rows = scratch.cut(counts(docs), "counts")
-    bad = scratch.cut(host_verdicts(rows, max_rate).filter(~F.col("host_kept")).select(F.col("host").alias("_bad")), "bad")
+    bad = scratch.cut(host_verdicts(rows).filter(F.col("rate_low") > F.lit(most)).select(F.col("host").alias("_bad")), "bad")
     held = bad.agg(F.sum(F.coalesce(F.octet_length("_bad"), F.lit(0)) + F.lit(32)).alias("x")).first()["x"] or 0
     if held <= BROADCAST_BYTES:  # else the documents are dealt by host
         bad = F.broadcast(bad)
     whole = docs.select(F.struct(*docs.columns).alias("_doc"), docs["doc_id"].alias("doc_id"), docs["source"].alias("source"), docs["text"].alias("text"))
     # The row number keeps the filter above the counts: pushed below them, it would count anew for each word.
     good = counts(whole, F.col("_doc")).withColumn("_row", F.monotonically_increasing_id())
-    good = good.filter(f"_row >= 0 and not ({RULES['short']}) and not ({RULES['repetitive']})")
+    good = good.filter(" and ".join(["_row >= 0", *(f"not ({x})" for x in RULES.values())]))
     good = good.join(bad, F.col("host").eqNullSafe(F.col("_bad")), "left_anti")
     return good.select("_doc.*")

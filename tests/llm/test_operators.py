@@ -278,6 +278,17 @@ def test_bad_host_goes(spark):
     assert not got[1000]["kept"] and all(got[2000 + k]["kept"] or got[2000 + k]["base_failed"] for k in range(300))
 
 
+def test_keep_drops_every_failure(spark):
+    clean = lambda k: " ".join(f"{w}{k}x{i}" for i, w in enumerate(PROSE.split() * 3))
+    symbols = lambda k: " ".join(f"{w}{k}x{i}$$#" for i, w in enumerate(PROSE.split() * 3))
+    lines = "\n".join(["the same line again", *[f"a{k} b{k} c{k} d{k} e{k} f{k} g{k} h{k} i{k} j{k}" for k in range(12)]] + ["z"] * 20)
+    made = [(k, clean(k), "good") for k in range(100)] + [(100, symbols(0), "good"), (101, lines, "good")]
+    made += [(200 + k, symbols(k), "bad") for k in range(80)] + [(300 + k, clean(k), "bad") for k in range(20)]
+    df = spark.createDataFrame(made, "doc_id long, text string, source string")
+    assert not any(x["base_failed"] for x in rows(quality_hosts.judge(df)))
+    assert sorted(x["doc_id"] for x in rows(quality_hosts.keep(df))) == list(range(100))
+
+
 def test_shard_tree(odd, none, docs):
     assert shard_tree.shard(none).count() == 0
     for df in (odd, docs):
