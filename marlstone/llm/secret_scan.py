@@ -29,17 +29,25 @@ HEX = r"[0-9a-f]{24,}"
 KEYWORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 RUN = r"[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "random")
-#: Encodings in the order they are tried: pattern, alphabet. The last takes what is left.
+_UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+#: Pattern, alphabet; a smaller alphabet is tried first. The last takes what is left. Hyphens that are
+#: not in the alphabet stand between groups and go before the tests. Letters alone are no key of 36 characters.
 ENCODINGS = (
     (r"\A[0-9]+\z", "0123456789"),
     (r"\A[0-9a-f]+\z", "0123456789abcdef"),
     (r"\A[0-9A-F]+\z", "0123456789ABCDEF"),
     (r"\A[A-Z2-7]+\z", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
     (r"\A[A-Za-z0-9]+\z", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"),
+    (r"\A(?=[a-z]*[0-9])(?=[0-9]*[a-z])[a-z0-9]+\z", _LOWER + _DIGITS),
+    (r"\A(?=[A-Z]*[0-9])(?=[0-9]*[A-Z])[A-Z0-9]+\z", _UPPER + _DIGITS),
+    (r"\A(?=[0-9-]*[a-f])[0-9a-f]+(?:-[0-9a-f]+)+\z", "0123456789abcdef"),
+    (r"\A(?=[0-9-]*[A-F])[0-9A-F]+(?:-[0-9A-F]+)+\z", "0123456789ABCDEF"),
     ("", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"),
 )
-#: Chance that two letters of natural text are equal.
-NATURAL_MATCH = 0.066
+TRIED = sorted(range(len(ENCODINGS) - 1), key=lambda k: len(ENCODINGS[k][1]))
+GROUPED = tuple(k for k, (x, _) in enumerate(ENCODINGS) if "(?:-" in x)
+#: Chance that two letters of natural text are equal, and that one is of a to f.
+NATURAL_MATCH, NATURAL_HEX = 0.066, 0.32
 #: Least lengths of the classes in which discoveries are controlled.
 CLASSES = (20, 32, 48, 80)
 #: Bins of -ln(p), each 1 / BIN wide.
@@ -72,14 +80,20 @@ def _phi(z: Column) -> Column:
 def battery(token: Column) -> Column:
     """struct<p_random, p_natural> of a run of characters without padding."""
     which = F.lit(len(ENCODINGS) - 1)
-    for k in range(len(ENCODINGS) - 2, -1, -1):
+    for k in reversed(TRIED):
         which = F.when(F.rlike(token, F.lit(ENCODINGS[k][0])), F.lit(k)).otherwise(which)
     one = lambda s, f: F.transform(F.array(s), f)[0]  # noqa: E731  names a value, so that it is computed once
 
-    def with_alphabet(alphabet: Column) -> Column:
-        return one(F.transform(F.split(token, ""), lambda c: F.position(c, alphabet) - 1), lambda at: _tests(at, F.length(alphabet)))
+    def with_encoding(k: Column) -> Column:
+        alphabet = F.element_at(F.array(*[F.lit(a) for _, a in ENCODINGS]), k + 1)
+        grouped = k.isin(*GROUPED)
+        bare = F.when(grouped, F.replace(token, F.lit("-"), F.lit(""))).otherwise(token)
+        tested = one(F.transform(F.split(bare, ""), lambda c: F.position(c, alphabet) - 1), lambda at: _tests(at, F.length(alphabet)))
+        # Natural text that looks like grouped hex has no letters but these.
+        rare = F.when(grouped, F.pow(F.lit(NATURAL_HEX), F.regexp_count(bare, F.lit("[A-Fa-f]")).cast("double"))).otherwise(1.0)
+        return one(tested, lambda x: F.struct(x["p_random"].alias("p_random"), (x["p_natural"] * rare).alias("p_natural")))
 
-    return one(F.element_at(F.array(*[F.lit(a) for _, a in ENCODINGS]), which + 1), with_alphabet)
+    return one(which, with_encoding)
 
 
 def _tests(at: Column, size: Column) -> Column:

@@ -384,6 +384,21 @@ def test_battery_parts_random_from_natural(spark):
     assert len(found & set(range(40))) >= 30 and not found - set(range(40))
 
 
+def test_battery_finds_keys_of_one_case(spark):
+    rng = np.random.default_rng(8)
+    of = lambda alphabet, n: "".join(rng.choice(list(alphabet), n))
+    small, large = "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    keys = [of(a, n) for a in (small, large) for n in (40, 64, 96) for _ in range(20)]
+    uuids = ["-".join(of("0123456789abcdef", n) for n in (8, 4, 4, 4, 12)) for _ in range(40)]
+    words = PROSE.split()
+    natural = ["".join(rng.choice(words, 10)) + str(k % 10) for k in range(60)] + ["-".join(rng.choice(words, 8)) for _ in range(60)] + ["_".join(rng.choice(words, 12)).upper() for _ in range(60)]
+    natural += [f"2024-{k:02d}-11-10-09-08-07-06" for k in range(12)]
+    texts = keys + uuids + natural
+    found = {x["doc_id"] for x in rows(secret_scan.scan(spark.createDataFrame([(k, f"x {t} y") for k, t in enumerate(texts)], "doc_id long, text string"))) if "random" in x["spans"]}
+    assert len(found & set(range(120))) >= 108 and len(found & set(range(120, 160))) >= 36
+    assert len(found - set(range(160))) <= 5
+
+
 def test_redact(odd):
     out = secret_scan.redact(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
