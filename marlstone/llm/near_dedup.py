@@ -3,19 +3,19 @@
 * Every document becomes the set of its distinct shingles. Documents with equal sets form a class,
   which one representative (least doc_id) stands for from there on.
 * Each class gets TREES sequences of DEPTH MinHash values. Tree by tree the classes are sorted by
-  their sequence; neighbours in that order have the longest common prefixes. A class looks at its
-  next neighbours as long as they share MIN_DEPTH values: where a region is dense these are the ones
-  that agree to a greater depth. Pairs whose sizes cannot reach the threshold go, and so do those
-  whose 256 signature bits estimate a similarity more than six standard errors below it.
-* The first pass looks at NEAREST neighbours. Candidates are confirmed on the full sets: in rounds,
-  each class's best candidate is confirmed and the links are contracted to components; then every
-  candidate between different components.
-* Classes of dense regions, where more than NEAREST neighbours share MIN_DEPTH values, go through a
-  second pass to WINDOW neighbours. There only pairs of different components are candidates.
-* Classes that even more than WINDOW neighbours share MIN_DEPTH values with are joined exactly, by
-  their rarest shingles: two sets that reach the threshold share one of each other's prefix.
-
-A pair at similarity 0.8 shares MIN_DEPTH values in none of 32 trees with a chance below 1e-7.
+  their sequence, so neighbours have the longest common prefixes. How long a prefix must be adapts to
+  the region: a class is paired with all that share the shortest prefix, of MIN_DEPTH values or more,
+  that no more than RUN classes share. Where RUN classes share all DEPTH values, and everywhere else
+  too, it is paired with the class next to it.
+* Pairs whose sizes cannot reach the threshold go, and so do those whose 256 signature bits estimate
+  a similarity far below it: six standard errors, or three within dense regions. What is left is
+  confirmed on the full sets, and links are contracted to components.
+* Dense regions: classes that in any tree more than RUN classes share MIN_DEPTH values with. They are
+  joined exactly by their rarest shingles (a prefix-filtered set join, see ``all_candidates``) between
+  different components, with no bound on partners. Every filter there is lossless.
+
+So of two classes at similarity 0.8 either one is sparse, and both meet unless they share MIN_DEPTH
+values in none of 32 trees (a chance below 1e-7), or both are dense and meet in the exact join.
 """
 
 from __future__ import annotations
@@ -25,24 +25,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 from .components import components
 
-TREES, DEPTH, MIN_DEPTH, NEAREST, WINDOW = 32, 8, 4, 4, 32
+TREES, DEPTH, MIN_DEPTH, RUN = 32, 8, 4, 8
 VALUES = TREES * DEPTH
 SHINGLE_WORDS, SIMILARITY = 5, 80
-#: A round that leaves more than this share of the candidates open is the last of best candidates only.
-FRUITFUL = 2 / 3
+#: Standard errors below the threshold at which an estimate rules a pair out, in sparse and dense regions.
+SURE, LIKELY = 6, 3
 #: Shingles are ordered by how often their bucket occurs; any order is right, rare ones first is fast.
 BUCKET_BITS = 18
 #: Rows of one shingle that are compared in one place; more are dealt in blocks.
-BLOCK = 1024
+BLOCK = 512
+#: Bits of the map of a set's shingles.
+MAP_BITS = 2048
 #: Bytes of ids that may be broadcast; a larger side is joined by shuffling.
 BROADCAST_BYTES = 32 << 20
-SETS = "doc_id long, n_shingles long, class_key binary, signature binary"
+SETS = "doc_id long, n_shingles long, class_key binary, signature binary, text_hash long"
 _rng = np.random.default_rng(20240607)
 _A = (_rng.integers(0, 1 << 63, VALUES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _B = _rng.integers(0, 1 << 63, VALUES, dtype=np.uint64)
@@ -83,6 +86,8 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = SIMILARITY) -> bool:
 
 
 def sets(docs: DataFrame, size: int) -> DataFrame:
+    """SETS of docs (doc_id, text, text_hash)."""
+
     def make():
         def f(rows: pa.RecordBatch) -> pa.RecordBatch:
             counts, keys, values = [], [], []
@@ -91,7 +96,7 @@ def sets(docs: DataFrame, size: int) -> DataFrame:
                 counts.append(len(s))
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 values.append(signature(s).tobytes() if len(s) else None)
-            return pa.RecordBatch.from_arrays([rows.column(0), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(values, pa.binary())], names=["doc_id", "n_shingles", "class_key", "signature"])
+            return pa.RecordBatch.from_arrays([rows.column(0), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(values, pa.binary()), rows.column(2)], names=[x.split()[0] for x in SETS.split(", ")])
 
         return f
 
@@ -103,116 +108,159 @@ def _bits(column: pa.Array, size: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, size)
 
 
+def _binary(x: np.ndarray) -> pa.Array:
+    """Rows of bytes as a column of binary values."""
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(x.shape[1]), len(x), [None, pa.py_buffer(np.ascontiguousarray(x).tobytes())]).cast(pa.binary())
+
+
+ORDER = ["tree", "path", "rep"]
+
+
 def _forest(classes: DataFrame) -> DataFrame:
-    """A row for each class and tree: tree, path, rep, part, n, and the signature's 256 lowest bits."""
+    """A row for each class and tree: tree, path, rep, n, and the signature's 256 lowest bits."""
 
     def make():
         def f(rows: pa.RecordBatch) -> pa.RecordBatch:
             n = rows.num_rows
-            values = _bits(rows.column(3), 2 * VALUES)
+            values = _bits(rows.column(2), 2 * VALUES)
             sketch = np.packbits(values.reshape(n, VALUES, 2)[:, :, 1] & 1, axis=1)
-            paths = values.reshape(n * TREES, 2 * DEPTH)
-            fixed = lambda x: pa.FixedSizeBinaryArray.from_buffers(pa.binary(x.shape[1]), len(x), [None, pa.py_buffer(np.ascontiguousarray(x).tobytes())]).cast(pa.binary())
             again = lambda c: pa.array(np.repeat(c.to_numpy(zero_copy_only=False), TREES))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.tile(np.arange(TREES, dtype="i4"), n)), fixed(paths), *map(again, rows.columns[:3]), fixed(np.repeat(sketch, TREES, axis=0))], names=["tree", "path", "rep", "part", "n", "sketch"]
-            )
+            return pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(TREES, dtype="i4"), n)), _binary(values.reshape(n * TREES, 2 * DEPTH)), *map(again, rows.columns[:2]), _binary(np.repeat(sketch, TREES, axis=0))], names=["tree", "path", "rep", "n", "sketch"])
 
         return f
 
-    return common.map_arrow(classes.select("rep", "part", "n", "signature"), make, "tree int, path binary, rep long, part long, n long, sketch binary", text=3)
+    return common.map_arrow(classes.select("rep", "n", "signature"), make, "tree int, path binary, rep long, n long, sketch binary", text=2)
 
 
-#: kind 0: a candidate (a, b, apart). kind 1: a row (a, of component b) at a partition's edge, to be
-#: compared across it. kind 2: a class (a) that more neighbours than the window share a prefix with.
-FOUND = "kind int, a long, b long, apart int, tree int, path binary, n long, sketch binary"
+#: kind 0: a candidate (a, b). kind 1: a row (a) at an edge of partition ``part`` of ``rows`` rows, at its
+#: end if ``tail``. kind 2: a class (a) of a dense region.
+FOUND = "kind int, a long, b long, tree int, path binary, n long, sketch binary, part int, rows long, tail boolean"
+_KINDS = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}
 
 
-def _found(kind: int, a, b, apart=None, tree=None, path=None, n=None, sketch=None) -> pa.RecordBatch:
-    k = len(a)
-    of = lambda x, t: pa.nulls(k, t) if x is None else pa.array([y.tobytes() for y in x] if t == pa.binary() else x, t)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(k, kind, "i4")), pa.array(a), pa.array(b), of(apart, pa.int32()), of(tree, pa.int32()), of(path, pa.binary()), of(n, pa.int64()), of(sketch, pa.binary())],
-        names=[x.split()[0] for x in FOUND.split(", ")],
-    )
+def _found(kind: int, a: np.ndarray, **more) -> pa.RecordBatch:
+    given = {"kind": np.full(len(a), kind, "i4"), "a": a, **more}
+    fields = [x.split() for x in FOUND.split(", ")]
+    column = lambda name, t: x if isinstance(x := given.get(name), pa.Array) else pa.nulls(len(a), t) if x is None else pa.array(x, t)
+    return pa.RecordBatch.from_arrays([column(name, _KINDS[t]) for name, t in fields], names=[x for x, _ in fields])
 
 
-def _neighbours(percent: int, seen: int, window: int, edges_too: bool):
-    """Compares sorted rows with the neighbours beyond the first ``seen`` ones, up to ``window``."""
-    ratio, keep = percent / 100, window + 1
-    # similarity <= 2 * (share of equal bits) - 1, with a standard error below 0.04
-    most = int(VALUES * (1 - (1 + ratio - 0.225) / 2))
+def _bits_apart(percent: int, errors: float) -> int:
+    """Of 256 bits, the most that may differ: similarity is about 2 * (share of equal bits) - 1."""
+    equal = (1 + percent / 100) / 2
+    return int(VALUES * (1 - equal) + errors * (VALUES * equal * (1 - equal)) ** 0.5)
+
+
+def _pairs_of(rows: list[np.ndarray], begin: int, end: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Candidates whose first row is one of begin to end - 1, and the classes of dense regions among these.
+
+    rows: tree, path, rep, n, sketch, sorted; with RUN + 1 rows of context on each side, if there are as many.
+    """
+    tree, path, rep, n, sketch = rows
+    total = len(rep)
+    values = np.ascontiguousarray(path).view(">u2")
+    common_prefix = np.cumprod((values[1:] == values[:-1]) & (tree[1:] == tree[:-1])[:, None], axis=1).sum(axis=1)
+    high = np.arange(total)
+    sparse = np.zeros(total, bool)
+    for depth in range(DEPTH, MIN_DEPTH - 1, -1):
+        cuts = np.r_[0, np.flatnonzero(common_prefix < depth) + 1, total]
+        size = np.diff(cuts)
+        sparse = np.repeat(size <= RUN, size)
+        high = np.where(sparse, np.repeat(cuts[1:], size), high)
+    own = np.arange(begin, end)
+    if len(dense := own[~sparse[own]]):
+        yield _found(2, np.unique(rep[dense]))
+    bits = np.ascontiguousarray(sketch).view(np.uint64)
+    most = np.where(sparse, _bits_apart(percent, SURE), _bits_apart(percent, LIKELY))
+    for step in range(1, RUN + 1):
+        a = own[own + step < total]
+        a = a[(a + step < high[a]) | ((step == 1) & (common_prefix[a] >= MIN_DEPTH))]
+        b = a + step
+        ok = 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
+        a, b = a[ok], b[ok]
+        ok = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1) <= most[a]
+        a, b = a[ok], b[ok]
+        if len(a):
+            yield _found(0, np.minimum(rep[a], rep[b]), b=np.maximum(rep[a], rep[b]))
+
+
+def _columns(rows: pa.RecordBatch) -> list[np.ndarray]:
+    return [rows.column(0).to_numpy(), _bits(rows.column(1), 2 * DEPTH), rows.column(2).to_numpy(), rows.column(3).to_numpy(), _bits(rows.column(4), VALUES // 8)]
+
+
+def _along(percent: int):
+    """Candidates within a sorted partition, in a window that moves over it, and its edges."""
+    side = RUN + 1
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, first, total = None, None, 0
+        held, done, first, total = None, 0, None, 0
         for rows in it:
             if not rows.num_rows:
                 continue
             total += rows.num_rows
-            numbers = [rows.column(k).to_numpy() for k in (0, 2, 3, 4)]
-            now = [numbers[0], _bits(rows.column(1), 2 * DEPTH), *numbers[1:], _bits(rows.column(5), VALUES // 8)]
-            old = 0 if held is None else len(held[0])
+            now = _columns(rows)
             if held is not None:
                 now = [np.concatenate([x, y]) for x, y in zip(held, now, strict=True)]
-            if first is None or len(first[0]) < keep:
-                first = [x[:keep].copy() for x in now]
-            yield from _close(*now, old, ratio, most, seen, window)
-            held = [x[-keep:].copy() for x in now]
-        if edges_too and held is not None:
-            twice = max(0, len(first[0]) + len(held[0]) - total)
-            for tree, path, rep, part, n, sketch in (first, [x[twice:] for x in held]):
-                yield _found(1, rep, part, None, tree, path, n, sketch)
+            if first is None or len(first[0]) < side:
+                first = [x[:side].copy() for x in now]
+            end = max(done, len(now[0]) - side)  # those after it may have more in common with the next batch
+            yield from _pairs_of(now, done, end, percent)
+            keep = max(0, end - side)
+            held, done = [x[keep:].copy() for x in now], end - keep
+        if held is None:
+            return
+        yield from _pairs_of(held, done, len(held[0]), percent)
+        part = TaskContext.get().partitionId()
+        for tail, edge in ((False, first), (True, [x[-side:] for x in held])):
+            if tail and total < side:  # a partition so small has been told whole
+                continue
+            k = len(edge[0])
+            yield _found(1, edge[2], tree=edge[0], path=_binary(edge[1]), n=edge[3], sketch=_binary(edge[4]), part=np.full(k, part, "i4"), rows=np.full(k, total), tail=np.full(k, tail))
 
     return run
 
 
-def _close(tree, path, rep, part, n, sketch, old: int, ratio: float, most: int, seen: int, window: int) -> Iterator[pa.RecordBatch]:
-    """Candidates of which the second row is not among the first ``old`` ones, those of the batch before.
+def _across(percent: int):
+    """Candidates among the rows around an edge; ``edge`` is the last column, rows are sorted within it."""
 
-    A row that is surely close to a neighbour still looks further: what links to the one need not
-    link to the other.
-    """
-    prefix = np.ascontiguousarray(path[:, : 2 * MIN_DEPTH]).view(np.uint64).reshape(len(path), -1)
-    bits = np.ascontiguousarray(sketch).view(np.uint64)
-    at = np.arange(len(tree))
-    for s in range(1, window + 2):
-        at = at[at < len(tree) - s]
-        # Rows are sorted: who has no common prefix with one neighbour has none with those beyond it.
-        at = at[(tree[at] == tree[at + s]) & (prefix[at] == prefix[at + s]).all(axis=1)]
-        if not len(at):
-            return
-        if s <= seen:
-            continue
-        to = at[at + s >= old]
-        if s > window:
-            dense = np.unique(rep[(to[:, None] + np.arange(s + 1)).ravel()])
-            yield _found(2, dense, dense)
-            return
-        low, high = np.minimum(n[to], n[to + s]), np.maximum(n[to], n[to + s])
-        to = to[(part[to] != part[to + s]) & (rep[to] != rep[to + s]) & (low >= ratio * high - 1e-9)]
-        apart = np.bitwise_count(bits[to] ^ bits[to + s]).sum(axis=1, dtype=np.int32)
-        to, apart = to[apart <= most], apart[apart <= most]
-        if len(to):
-            yield _found(0, np.minimum(rep[to], rep[to + s]), np.maximum(rep[to], rep[to + s]), apart)
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for rows in it:
+            if not rows.num_rows:
+                continue
+            now = [*_columns(rows), rows.column(5).to_numpy()]
+            if held is not None:
+                now = [np.concatenate([x, y]) for x, y in zip(held, now, strict=True)]
+            cuts = np.r_[0, np.flatnonzero(np.diff(now[5])) + 1, len(now[5])]
+            for a, b in zip(cuts[:-2], cuts[1:-1], strict=True):
+                yield from _pairs_of([x[a:b] for x in now[:5]], 0, b - a, percent)
+            held = [x[cuts[-2] :].copy() for x in now]
+        if held is not None:
+            yield from _pairs_of(held[:5], 0, len(held[0]), percent)
+
+    return run
 
 
-def candidates(classes: DataFrame, scratch: common.Scratch, name: str, percent: int = SIMILARITY, seen: int = 0, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b, apart) of representatives of different parts, a < b, each once; and the dense region (rep).
+def candidates(classes: DataFrame, scratch: common.Scratch, percent: int = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of representatives, a < b, each once; and the classes (rep) of dense regions.
 
-    ``classes`` has rep, part, n and signature. Neighbours up to ``seen`` have been compared before.
-    The dense region has all classes of runs in which a row has more than ``window`` neighbours that
-    share MIN_DEPTH values with it, so a later pass over it alone finds those runs whole.
+    ``classes`` has rep, n and signature. Range partitions cut runs; RUN + 1 rows of either side of
+    each cut meet once more, a cut at a time.
     """
-    order = ["tree", "path", "rep"]
-    dealt = _forest(classes).repartitionByRange(common.parts_for(classes), *order).sortWithinPartitions(*order)
-    found = scratch.cut(dealt.mapInArrow(_neighbours(percent, seen, window, True), FOUND), f"{name}-found")
-    # At most 2 * window + 2 rows of each partition; they meet in the same order in one task.
-    edge = found.filter("kind = 1").select("tree", "path", F.col("a").alias("rep"), F.col("b").alias("part"), "n", "sketch").coalesce(1).sortWithinPartitions(*order)
-    across = scratch.cut(edge.mapInArrow(_neighbours(percent, seen, window, False), FOUND), f"{name}-across")
-    every = found.filter("kind <> 1").unionByName(across)
-    pairs = scratch.cut(every.filter("kind = 0").groupBy("a", "b").agg(F.min("apart").alias("apart")), f"{name}-pairs")
-    dense = scratch.cut(every.filter("kind = 2").select(F.col("a").alias("rep")).distinct(), f"{name}-dense")
-    scratch.drop(f"{name}-found", f"{name}-across")
+    dealt = _forest(classes).repartitionByRange(common.parts_for(classes), *ORDER).sortWithinPartitions(*ORDER)
+    found = scratch.cut(dealt.mapInArrow(_along(percent), FOUND), "found")
+    edges = found.filter("kind = 1")
+    # A cut is named by the partition before it; partitions too small to be one side of it belong to the cut before.
+    whole = edges.groupBy("part").agg(F.first("rows").alias("rows"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    cut = whole.select("part", F.coalesce(F.last(F.when(F.col("rows") > RUN, F.col("part")), ignorenulls=True).over(before), F.lit(-1)).alias("head_edge"))
+    edges = edges.join(F.broadcast(cut), "part").select("tree", "path", F.col("a").alias("rep"), "n", "sketch", F.when(F.col("tail"), F.col("part")).otherwise(F.col("head_edge")).alias("edge"))
+    met = edges.repartition(common.parts_for(edges), "edge").sortWithinPartitions("edge", *ORDER).mapInArrow(_across(percent), FOUND)
+    met = scratch.cut(met.select("kind", "a", "b"), "across")
+    every = found.select("kind", "a", "b").unionByName(met)
+    pairs = scratch.cut(every.filter("kind = 0").select("a", "b").distinct(), "pairs")
+    dense = scratch.cut(every.filter("kind = 2").select(F.col("a").alias("rep")).distinct(), "dense")
+    scratch.drop("found", "across")
     return pairs, dense
 
 
@@ -233,50 +281,67 @@ def _histogram(texts: DataFrame, size: int) -> np.ndarray:
     return out
 
 
+def bit_map(shingles: np.ndarray) -> bytes:
+    """MAP_BITS bits, those of the shingles' lowest hash bits set. Two maps differ in no more places than their sets."""
+    out = np.zeros(MAP_BITS, np.uint8)
+    out[(shingles & np.uint64(MAP_BITS - 1)).astype(np.int64)] = 1
+    return np.packbits(out).tobytes()
+
+
 def _prefixes(texts: DataFrame, often: np.ndarray, size: int, percent: int) -> DataFrame:
-    """For each text (doc_id, part, text) its rarest shingles: one must be shared by all that reach the threshold."""
+    """For each text its set's size and map, and its rarest shingles: sets that reach the threshold share one of each other's."""
     held = texts.sparkSession.sparkContext.broadcast(often)
 
     def make():
-        def f(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            for rep, part, text in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+        def f(rows: pa.RecordBatch) -> pa.RecordBatch:
+            counts, maps, tokens = [], [], []
+            for text in rows.column(1).to_pylist():
                 s = shingle_hashes(text, size)
-                n = len(s)
-                if not n:
-                    continue
-                p = n + (-percent * n) // 100 + 1
-                first = s[np.lexsort((s, held.value[(s >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]))][:p]
-                sketch = np.packbits((signature(s).astype("u2") & 1).astype("u1")).tobytes()
-                same = lambda x: pa.array(np.full(p, x, "i8"))  # noqa: E731, B023
-                yield pa.RecordBatch.from_arrays([pa.array(first.view(np.int64)), same(rep), same(part), same(n), pa.array(np.arange(p)), pa.array([sketch] * p, pa.binary())], names=["token", "rep", "part", "n", "pos", "sketch"])
+                p = len(s) + (-percent * len(s)) // 100 + 1
+                counts.append(len(s))
+                maps.append(bit_map(s))
+                tokens.append(s[np.lexsort((s, held.value[(s >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]))][:p].view(np.int64))
+            return pa.RecordBatch.from_arrays([rows.column(0), pa.array(counts, pa.int64()), pa.array(maps, pa.binary()), pa.array(tokens, pa.list_(pa.int64()))], names=["rep", "n", "map", "tokens"])
 
         return f
 
-    return common.map_arrow(texts.select("doc_id", "part", "text"), make, "token long, rep long, part long, n long, pos long, sketch binary", text=2)
+    return common.map_arrow(texts.select("doc_id", "text"), make, "rep long, n long, map binary, tokens array<long>", text=1)
+
+
+def _dealt():
+    """A row once for each block of its shingle's rows: i and j are its own block and the other, in order."""
+
+    def f(rows: pa.RecordBatch) -> pa.RecordBatch:
+        at = {x: k for k, x in enumerate(rows.schema.names)}
+        blocks, own = (rows.column(at[x]).to_numpy() for x in ("blocks", "own"))
+        again = np.repeat(np.arange(rows.num_rows), blocks)
+        other = np.arange(len(again)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        i, j = (g(own[again], other).astype("i4") for g in (np.minimum, np.maximum))
+        rest = [rows.column(at[x]).take(pa.array(again)) for x in ("own", "rep", "part", "n", "pos", "map")]
+        return pa.RecordBatch.from_arrays([rows.column(at["token"]).take(pa.array(again)), pa.array(i), pa.array(j), *rest], names=["token", "i", "j", "own", "rep", "part", "n", "pos", "map"])
+
+    return f
 
 
 def _met(percent: int):
     """Compares all rows of a key (token, i, j), sorted by n; i and j are blocks, of which pairs lie across."""
-    most = int(VALUES * (1 - (1 + percent / 100 - 0.225) / 2))
 
-    def close(token, i, j, own, rep, part, n, pos, sketch) -> Iterator[pa.RecordBatch]:
-        bits = np.ascontiguousarray(sketch).view(np.uint64)
+    def close(token, i, j, own, rep, part, n, pos, maps) -> Iterator[pa.RecordBatch]:
+        bits = np.ascontiguousarray(maps).view(np.uint64)
         at, got, k = np.arange(len(token)), [], 0
         for s in range(1, len(token)):
             at = at[at < len(token) - s]
             to = at + s
             # Sorted by n: who is too small for one row is too small for those beyond it.
-            good = (token[at] == token[to]) & (i[at] == i[to]) & (j[at] == j[to]) & (100 * n[at] >= percent * n[to])
-            at = at[good]
+            at = at[(token[at] == token[to]) & (i[at] == i[to]) & (j[at] == j[to]) & (100 * n[at] >= percent * n[to])]
             if not len(at):
                 break
             x, y = at, at + s
-            ok = (part[x] != part[y]) & (rep[x] != rep[y]) & ((i[x] == j[x]) | (own[x] != own[y]))
+            ok = (part[x] != part[y]) & ((i[x] == j[x]) | (own[x] != own[y]))
             ok &= (100 + percent) * np.minimum(n[x] - pos[x], n[y] - pos[y]) >= percent * (n[x] + n[y])
             x, y = x[ok], y[ok]
-            apart = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int32)
-            ok = apart <= most
-            got.append((np.minimum(rep[x], rep[y])[ok], np.maximum(rep[x], rep[y])[ok], apart[ok]))
+            ok = (100 + percent) * np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64) <= (100 - percent) * (n[x] + n[y])
+            got.append((np.minimum(rep[x], rep[y])[ok], np.maximum(rep[x], rep[y])[ok]))
             k += len(got[-1][0])
             if k >= 1 << 18:
                 yield once(got)
@@ -285,18 +350,15 @@ def _met(percent: int):
             yield once(got)
 
     def once(got) -> pa.RecordBatch:
-        a, b, apart = (np.concatenate(x) for x in zip(*got, strict=True))
-        order = np.lexsort((apart, b, a))
-        a, b, apart = a[order], b[order], apart[order]
-        new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
-        return pa.RecordBatch.from_arrays([pa.array(x[new]) for x in (a, b, apart)], names=["a", "b", "apart"])
+        a, b = np.unique(np.stack([np.concatenate(x) for x in zip(*got, strict=True)]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for rows in it:
             if not rows.num_rows:
                 continue
-            now = [rows.column(c).to_numpy() for c in range(8)] + [_bits(rows.column(8), VALUES // 8)]
+            now = [rows.column(c).to_numpy() for c in range(8)] + [_bits(rows.column(8), MAP_BITS // 8)]
             if held is not None:
                 now = [np.concatenate([x, y]) for x, y in zip(held, now, strict=True)]
             other = np.flatnonzero((now[0] != now[0][-1]) | (now[1] != now[1][-1]) | (now[2] != now[2][-1]))
@@ -310,23 +372,25 @@ def _met(percent: int):
     return run
 
 
-def all_candidates(region: DataFrame, docs: DataFrame, before: DataFrame, scratch: common.Scratch, size: int, percent: int) -> DataFrame:
-    """Pairs (a, b, apart) of different parts over ``region`` (rep, part), without those ``before`` (a, b).
+def all_candidates(region: DataFrame, docs: DataFrame, scratch: common.Scratch, size: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of different parts over ``region`` (rep, part): all that can reach the threshold.
 
-    A prefix-filtered set join: no bound on neighbours. A shingle that many prefixes have is dealt in
-    blocks, each pair of blocks in a place of its own.
+    A prefix-filtered set join: no bound on neighbours. Only shingles that classes of different parts
+    have in their prefixes count. A frequent one's rows are dealt in blocks, each pair of blocks in a
+    place of its own; there sizes, places in the prefixes and bit maps rule pairs out, all without loss.
     """
-    own = region.select(F.col("rep").alias("doc_id"), "part")
-    texts = scratch.cut(docs.join(_small(own), "doc_id").dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "part", "text"), "rest-texts")
-    rows = scratch.cut(_prefixes(texts, _histogram(texts, size), size, percent), "rest-prefixes")
-    counts = rows.groupBy("token").agg(F.count(F.lit(1)).alias("c"))
-    shared = counts.filter("c > 1").select("token", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
-    rows = rows.join(shared, "token").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("token", F.least("own", "other").cast("int").alias("i"), F.greatest("own", "other").cast("int").alias("j"), "own", "rep", "part", "n", "pos", "sketch")
+    own = region.select(F.col("rep").alias("doc_id"))
+    texts = scratch.cut(docs.join(_small(own), "doc_id", "left_semi").dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text"), "rest-texts")
+    held = scratch.cut(_prefixes(texts, _histogram(texts, size), size, percent).join(region, "rep"), "rest-prefixes")
+    rows = held.select("rep", "part", F.posexplode("tokens").alias("pos", "token"))
+    counts = rows.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("part").alias("p"), F.max("part").alias("q"))
+    shared = counts.filter("p < q").select("token", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
+    # Repeated doc_ids with different texts are one part; their rows differ by n at most.
+    rows = held.select("rep", "part", "n", "map", F.posexplode("tokens").alias("pos", "token")).join(shared, "token")
+    rows = rows.select("token", "rep", "part", "n", F.col("pos").cast("long").alias("pos"), "map", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("own"))
+    dealt = common.map_arrow(rows, _dealt, "token long, i int, j int, own int, rep long, part long, n long, pos long, map binary")
     dealt = dealt.repartition(common.parts_for(dealt), "token", "i", "j").sortWithinPartitions("token", "i", "j", "n", "rep")
-    found = dealt.mapInArrow(_met(percent), "a long, b long, apart int").unionByName(before.select("a", "b", F.lit(-1).alias("apart")))
-    pairs = scratch.cut(found.groupBy("a", "b").agg(F.min("apart").alias("apart")).filter("apart >= 0"), "rest-pairs")
+    pairs = scratch.cut(dealt.mapInArrow(_met(percent), "a long, b long").distinct(), "rest-pairs")
     scratch.drop("rest-texts", "rest-prefixes")
     return pairs
 
@@ -336,8 +400,10 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() * 16 <= BROADCAST_BYTES else df
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) that are similar on their full sets."""
+def confirmed(pairs: DataFrame, docs: DataFrame, scratch: common.Scratch, name: str, size: int, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) that are similar on their full sets. Only texts of classes with pairs move."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = scratch.cut(docs.join(_small(ends), "doc_id", "left_semi").dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text"), f"{name}-texts")
     left, right = (texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
     # A pair has 16 bytes, but much work: dealt by bytes, all would come to one task.
     dealt = pairs.select("a", "b").repartition(common.parts_for(pairs), "b").sortWithinPartitions("b")
@@ -357,59 +423,30 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
 
         return f
 
-    return common.map_arrow(both, make, "a long, b long", text=2)
-
-
-def _texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """(doc_id, text) of the ends of ``pairs``."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    return docs.join(_small(ends), "doc_id", "left_semi").dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text")
-
+    links = scratch.cut(common.map_arrow(both, make, "a long, b long", text=2), f"{name}-links")
+    scratch.drop(f"{name}-texts")
+    return links
 
-def linked(pairs: DataFrame, docs: DataFrame, scratch: common.Scratch, size: int, percent: int) -> DataFrame:
-    """(node, component) over the confirmed ones of ``pairs`` (a, b, apart).
 
-    In rounds, each node's best pair between different components is confirmed and components are
-    contracted, as long as the pairs are many for the nodes they have and the rounds settle many of
-    them; then all that are left and still lie between different components. Only texts of nodes
-    with pairs move.
-    """
-    texts = scratch.cut(_texts(pairs, docs), "texts")
-    label: DataFrame | None = None
-    k, before = 0, None
-    while (n := pairs.count()) or label is None:
-        many = (before is None or n <= FRUITFUL * before) and n > 1.5 * pairs.select(F.explode(F.array("a", "b")).alias("x")).distinct().count()
-        if many or not k:
-            both = pairs.select(F.col("a").alias("node"), "apart", "a", "b").unionByName(pairs.select(F.col("b").alias("node"), "apart", "a", "b"))
-            now = scratch.cut(both.groupBy("node").agg(F.min(F.struct("apart", "a", "b")).alias("x")).select("x.a", "x.b").distinct(), f"best{k}")
-            last = False
-        else:
-            now, last = pairs, True
-        links = scratch.cut(confirmed(now, texts, size, percent), f"links{k}")
-        if label is not None:
-            old = [label.select(F.col("node").alias(c), F.col("component").alias(f"_{c}")) for c in "ab"]
-            links = links.join(old[0], "a", "left").join(old[1], "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
-            links = links.unionByName(label.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        label = components(links, scratch, f"label{k}")
-        if last:
-            break
-        at = [label.select(F.col("node").alias(c), F.col("component").alias(f"_{c}")) for c in "ab"]
-        rest = pairs.join(at[0], "a", "left").join(at[1], "b", "left").filter(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b", "apart")
-        # What is confirmed lies within a component by now; what is refuted must not come again.
-        pairs, before = scratch.cut(rest.join(now, ["a", "b"], "left_anti"), f"rest{k}"), n
-        scratch.drop(f"best{k}", f"links{k}", *([f"rest{k - 1}"] if k else []))
-        k += 1
-    scratch.drop("texts")
-    return label
-
-
-def extended(label: DataFrame, pairs: DataFrame, docs: DataFrame, scratch: common.Scratch, name: str, size: int, percent: int) -> DataFrame:
-    """(node, component) over ``label`` and the confirmed ones of ``pairs``, all between different components."""
-    texts = scratch.cut(_texts(pairs, docs), f"{name}-texts")
-    links = scratch.cut(confirmed(pairs, texts, size, percent), f"{name}-links")
-    scratch.drop(f"{name}-texts")
-    edges = links.unionByName(label.select(F.col("node").alias("a"), F.col("component").alias("b")))
-    return components(edges, scratch, f"{name}-label")
+def _grouped(docs: DataFrame, scratch: common.Scratch, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """SETS of the documents, and class_key, component_id of their classes."""
+    text = common.text_or_empty(docs)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.cast("binary").alias("text"), F.xxhash64(text).alias("text_hash"))
+    own = scratch.cut(sets(docs, size), "sets")
+    classes = own.filter("class_key is not null").groupBy("class_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
+    classes = scratch.cut(classes, "classes")
+    real = classes.filter("rep is not null")
+    pairs, dense = candidates(real, scratch, percent)
+    label = components(confirmed(pairs, docs, scratch, "near", size, percent), scratch, "near")
+    if dense.limit(1).count():
+        region = scratch.cut(dense.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("part")), "region")
+        links = confirmed(all_candidates(region, docs, scratch, size, percent), docs, scratch, "rest", size, percent)
+        label = components(links.unionByName(label.select(F.col("node").alias("a"), F.col("component").alias("b"))), scratch, "rest")
+    # Two classes of one doc_id (repeated doc_ids with different texts) share their component.
+    named = classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("class_key", F.coalesce("component", "rep").alias("component_id"))
+    named = scratch.cut(named, "named")
+    scratch.drop("classes", "pairs", "dense", "region", "rest-pairs")
+    return own, named
 
 
 def group(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = SIMILARITY) -> DataFrame:
@@ -420,40 +457,34 @@ def group(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = SI
     an empty set and link with nothing. Repeated rows give a row each; rows that share a doc_id are
     one document, which has the links of all its texts. A null doc_id links only with equal sets and
     takes their least doc_id. An empty table gives no rows. Only doc_id and text are read; other
-    columns may have any name. Ties between equal estimates go to the smaller doc_id.
+    columns may have any name.
     """
-    spark = docs.sparkSession
-    scratch = common.Scratch(spark, "near-dedup")
-    text = common.text_or_empty(docs)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.cast("binary").alias("text"), F.xxhash64(text).alias("text_hash"))
-    own = scratch.cut(sets(docs.select("doc_id", "text"), shingle_words), "sets")
-    classes = own.filter("class_key is not null").groupBy("class_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
-    classes = scratch.cut(classes, "classes")
-    real = classes.filter("rep is not null")
-    pairs, dense = candidates(real.withColumn("part", F.col("rep")), scratch, "near", percent, 0, NEAREST)
-    label = linked(pairs, docs, scratch, shingle_words, percent)
-    if dense.limit(1).count():
-        inside = real.join(_small(dense), "rep", "left_semi").join(label.withColumnRenamed("node", "rep"), "rep", "left")
-        far, dense = candidates(inside.withColumn("part", F.coalesce("component", "rep")), scratch, "far", percent, NEAREST, WINDOW)
-        label = extended(label, far, docs, scratch, "far", shingle_words, percent)
-        if dense.limit(1).count():
-            region = dense.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("part"))
-            rest = all_candidates(region, docs, pairs.select("a", "b").unionByName(far.select("a", "b")), scratch, shingle_words, percent)
-            label = extended(label, rest, docs, scratch, "rest", shingle_words, percent)
-    # Two classes of one doc_id (repeated doc_ids with different texts) share their component.
-    named = classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("class_key", F.coalesce("component", "rep").alias("component_id"))
-    named = scratch.cut(named, "named")
-    scratch.drop("classes", "near-pairs", "near-dense", "far-pairs", "far-dense", "rest-pairs")
+    own, named = _grouped(docs, common.Scratch(docs.sparkSession, "near-dedup"), shingle_words, percent)
     rows = own.select("doc_id", "n_shingles", "class_key").join(named, "class_key", "left")
     component = F.when(F.col("class_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def keep_one(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = SIMILARITY) -> DataFrame:
-    """The documents of which ``group`` keeps one for each component, all columns as they were; of repeated rows one."""
+    """The documents of which ``group`` keeps one for each component, all columns as they were; of repeated rows one.
+
+    A document without doc_id goes if one with a doc_id has its set; of several without doc_id and
+    with equal sets one stays. Documents without words stay, repeated doc_ids apart.
+    """
     scratch = common.Scratch(docs.sparkSession, "near-dedup")
-    rows = scratch.cut(group(docs, shingle_words, percent).select("doc_id", "kept"), "verdicts")
-    out = docs.join(_small(rows.filter("not kept").select("doc_id").distinct()), "doc_id", "left_anti").select(*docs.columns)
-    if rows.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        out = out.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.filter("doc_id is null"))
-    return out
+    own, named = _grouped(docs, scratch, shingle_words, percent)
+    rows = scratch.cut(own.filter("class_key is not null").select("doc_id", "class_key", "text_hash").join(named, "class_key"), "verdicts")
+    gone = rows.filter("doc_id <> component_id").select("doc_id").distinct()
+    # Where no doc_id is repeated or missing, which is the rule, the documents are not dealt again.
+    known = own.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count()
+    out = docs.filter(docs["doc_id"].isNotNull()).join(_small(gone), "doc_id", "left_anti").select(*docs.columns)
+    if known:
+        out = out.dropDuplicates(["doc_id"])
+    if not own.filter("doc_id is null").limit(1).count():
+        return out
+    alone = rows.filter("doc_id is null and component_id is null").groupBy("class_key").agg(F.min("text_hash").alias("h")).select("h").distinct()
+    name = common.fresh(docs, "_text_hash")
+    nameless = docs.filter(docs["doc_id"].isNull()).withColumn(name, F.xxhash64(common.text_or_empty(docs)))
+    empty = ~F.rlike(common.text_or_empty(docs), F.lit(r"[^\x20\x09-\x0D]"))
+    one = nameless.join(_small(alone), nameless[name] == alone["h"], "left_semi").dropDuplicates([name])
+    return out.unionByName(nameless.filter(empty).drop(name)).unionByName(one.drop(name))
