@@ -39,8 +39,8 @@ SHINGLE_WORDS, SIMILARITY = 5, 80
 SURE, LIKELY = 6, 3
 #: Shingles are ordered by how often their bucket occurs; any order is right, rare ones first is fast.
 BUCKET_BITS = 18
-#: Rows of one shingle that are compared in one place; more are dealt in blocks.
-BLOCK = 512
+#: Rows of one shingle that are compared in one place; more are dealt in blocks, four times as large beyond MANY.
+BLOCK, MANY = 512, 16
 #: Bits of the map of a set's shingles.
 MAP_BITS = 2048
 #: Bytes of ids that may be broadcast; a larger side is joined by shuffling.
@@ -384,17 +384,41 @@ def all_candidates(region: DataFrame, docs: DataFrame, scratch: common.Scratch,
     held = scratch.cut(_prefixes(texts, _histogram(texts, size), size, percent).join(region, "rep"), "rest-prefixes")
     rows = held.select("rep", "part", F.posexplode("tokens").alias("pos", "token"))
     counts = rows.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("part").alias("p"), F.max("part").alias("q"))
-    shared = counts.filter("p < q").select("token", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
-    # Repeated doc_ids with different texts are one part; their rows differ by n at most.
-    rows = held.select("rep", "part", "n", "map", F.posexplode("tokens").alias("pos", "token")).join(shared, "token")
-    rows = rows.select("token", "rep", "part", "n", F.col("pos").cast("long").alias("pos"), "map", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("own"))
+    shared = scratch.cut(counts.filter("p < q").select("token", "c"), "rest-shared")
+    rows = held.select("rep", "part", "n", "map", F.posexplode("tokens").alias("pos", "token")).join(shared, "token").select("token", "c", "rep", "part", "n", F.col("pos").cast("long").alias("pos"), "map")
+    if shared.filter(F.col("c") > MANY * BLOCK).limit(1).count():
+        rows = _merged(rows, shared, scratch)
+    blocks = F.least(F.ceil(F.col("c") / BLOCK), F.greatest(F.lit(MANY), F.ceil(F.col("c") / (4 * BLOCK)))).cast("int")
+    rows = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = common.map_arrow(rows, _dealt, "token long, i int, j int, own int, rep long, part long, n long, pos long, map binary")
     dealt = dealt.repartition(common.parts_for(dealt), "token", "i", "j").sortWithinPartitions("token", "i", "j", "n", "rep")
     pairs = scratch.cut(dealt.mapInArrow(_met(percent), "a long, b long").distinct(), "rest-pairs")
-    scratch.drop("rest-texts", "rest-prefixes")
+    scratch.drop("rest-texts", "rest-prefixes", "rest-shared", "rest-once")
     return pairs
 
 
+def _merged(rows: DataFrame, shared: DataFrame, scratch: common.Scratch) -> DataFrame:
+    """``rows`` (token, c, ...) with very frequent shingles that go together replaced by one, where that is less work.
+
+    In a region without rare shingles two sets share many frequent ones, and would be compared at
+    each. Shingles that meet in a prefix form a cluster; if all its sets compared once are less than
+    the sum over its shingles, the cluster is a shingle. A set's place there is its least one, so no
+    bound on the overlap is tightened.
+    """
+    hot = shared.filter(F.col("c") > MANY * BLOCK)
+    met = rows.join(_small(hot.select("token")), "token", "left_semi").select("rep", "token")
+    edges = met.groupBy("rep").agg(F.min("token").alias("a")).join(met, "rep").select("a", F.col("token").alias("b")).distinct()
+    cluster = components(edges, scratch, "rest-clusters").select(F.col("node").alias("token"), F.col("component").alias("cluster"))
+    cluster = hot.join(cluster, "token").select("token", "c", "cluster")
+    sets_of = met.join(_small(cluster.select("token", "cluster")), "token").select("cluster", "rep").distinct().groupBy("cluster").agg(F.count(F.lit(1)).alias("m"))
+    work = cluster.groupBy("cluster").agg(F.sum(F.col("c").cast("double") * F.col("c")).alias("work")).join(sets_of, "cluster")
+    once = cluster.join(work.filter(F.col("m").cast("double") * F.col("m") <= F.col("work")), "cluster").select("token", F.xxhash64(F.lit("cluster"), "cluster").alias("_as"), "m")
+    once = scratch.cut(once, "rest-once")
+    apart = rows.join(_small(once.select("token")), "token", "left_anti")
+    one = rows.join(_small(once), "token").groupBy(F.col("_as").alias("token"), F.col("m").alias("c"), "rep", "part", "n", "map").agg(F.min("pos").alias("pos"))
+    return apart.unionByName(one)
+
+
 def _small(df: DataFrame) -> DataFrame:
     """Broadcast if a count shows that 16 bytes a row stay below the limit."""
     return F.broadcast(df) if df.count() * 16 <= BROADCAST_BYTES else df
@@ -405,8 +429,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, scratch: common.Scratch, name:
     ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = scratch.cut(docs.join(_small(ends), "doc_id", "left_semi").dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text"), f"{name}-texts")
     left, right = (texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
-    # A pair has 16 bytes, but much work: dealt by bytes, all would come to one task.
-    dealt = pairs.select("a", "b").repartition(common.parts_for(pairs), "b").sortWithinPartitions("b")
+    # A pair has 16 bytes, but much work: dealt by bytes, all would come to one task. A class with many pairs is shared out.
+    dealt = pairs.select("a", "b").repartition(common.parts_for(pairs), F.col("b"), F.pmod(F.xxhash64("a"), F.lit(16))).sortWithinPartitions("b")
     both = dealt.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
 
     def make():
