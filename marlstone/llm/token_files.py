@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from . import common
 
 MAGIC = b"TIDS1\n"
-#: Documents and bytes of text of which the dictionary is fitted: the shorter documents of least hash.
-SAMPLE_DOCS, SAMPLE_BYTES = 1000, 8192
+#: Documents of which the dictionary is fitted, and code points of each.
+SAMPLE_DOCS, SAMPLE_CHARS = 1000, 8192
 DIGEST = "part int, seq int, nth int, doc_id long, local long, n_tokens long, ids_crc32 long"
 
 
@@ -75,19 +75,39 @@ class Shard:
         return np.frombuffer(raw, f"<u{self.head['width']}").astype("<u4", copy=False)
 
 
+def sample(docs: DataFrame) -> list[str]:
+    """At most SAMPLE_DOCS different texts, those of least hash; of a text of over SAMPLE_CHARS a part at a place its hash names.
+
+    A count sets a bound on the hash that about twice as many texts pass, so tasks send few, whatever
+    the number of partitions or copies.
+    """
+    n = docs.count()
+    if not n:
+        return []
+    h = F.xxhash64("text")
+    bound = min((1 << 63) - 1, -(1 << 63) + int((1 << 64) * min(1.0, 2 * SAMPLE_DOCS / n)))
+    room = F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1
+    part = F.substring("text", (F.pmod(F.col("h"), room) + 1).cast("int"), F.lit(SAMPLE_CHARS))
+    rows = docs.select("text", h.alias("h")).filter((F.col("h") <= F.lit(bound)) & (F.length("text") > 0)).select("h", part.alias("text"))
+    few = rows.groupBy("h").agg(F.min("text").alias("text")).orderBy("h").limit(SAMPLE_DOCS)
+    return [x["text"] for x in few.collect()]
+
+
 def train_dictionary(docs: DataFrame, tokens: str, end_id: int, width: int, size: int = 32 << 10) -> bytes:
-    """Fitted on at most SAMPLE_DOCS documents of at most SAMPLE_BYTES; empty if they are too few."""
+    """Fitted on the id arrays of ``sample``. Where they are too few to train on, they are the dictionary themselves.
+
+    Without any text there is none: the header then names none.
+    """
     import zstandard
 
     from .bpe import encoder
 
-    short = docs.filter(F.octet_length("text").between(1, SAMPLE_BYTES)).select("text", F.xxhash64("doc_id", "text").alias("h"))
-    texts = [x[0] for x in short.orderBy("h").limit(SAMPLE_DOCS).collect()]
-    samples = [np.append(np.frombuffer(x, "<u4"), end_id).astype(f"<u{width}").tobytes() for x in encoder(tokens).encode(texts)]
+    samples = [np.append(np.frombuffer(x, "<u4"), end_id).astype(f"<u{width}").tobytes() for x in encoder(tokens).encode(sample(docs))]
     try:
-        return zstandard.train_dictionary(size, samples).as_bytes() if len(samples) >= 100 else b""
-    except zstandard.ZstdError:
-        return b""
+        return zstandard.train_dictionary(size, samples).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        raw = b"".join(samples)[-size:]
+        return bytes(8) + raw if raw else b""  # zeros first: never the mark of a trained one
 
 
 def ordered(docs: DataFrame) -> DataFrame:
