@@ -4,13 +4,18 @@ A batch holds changes: rows with a sign, +1 for an inserted document, -1 for a d
 revised count is the old row with -1 and the new one with +1. Each commit adds up its changes by
 source, language and tokenizer version and writes these few rows. Totals are the sum of all
 committed batches, and zero groups vanish. A batch id commits once: its folder is written under a
-name of its own attempt and then made current by creating a marker file that must not exist yet, so
-a commit that is run again, or raced, changes nothing. ``compact`` folds batches into one.
+name of its own attempt and then made current by a marker file, which is written aside and renamed
+to the batch's name if that does not exist yet. So a commit that is run again, raced or broken off
+changes nothing. ``compact`` folds batches into one; of folds that overlap one counts.
+
+The store must rename a file atomically and refuse to where the name is taken, as HDFS does; an
+object store needs a committer in front that offers this.
 """
 
 from __future__ import annotations
 
 import functools
+import hashlib
 import json
 import re
 import uuid
@@ -77,24 +82,39 @@ class Rollup:
     def _markers(self) -> dict[str, dict]:
         out = {}
         for x in self._fs.listStatus(self._path(f"{self.folder}/_commits")):
+            name = x.getPath().getName()
+            if name.startswith(("_", ".")):  # written aside, and left by a driver that was lost
+                continue
             stream = self._fs.open(x.getPath())
             try:
-                out[x.getPath().getName()] = json.loads(bytes(stream.readAllBytes()).decode())
+                out[name] = json.loads(bytes(stream.readAllBytes()).decode())
+            except ValueError:  # no marker of this protocol: nothing was committed by it
+                continue
             finally:
                 stream.close()
         return out
 
     def _mark(self, name: str, what: dict) -> bool:
-        """False if the marker was there already; a store creates it for one caller only."""
-        at = self._path(f"{self.folder}/_commits/{name}")
-        try:
-            stream = self._fs.create(at, False)
-        except Exception as e:  # noqa: BLE001
-            if self._fs.exists(at):
-                return False
-            raise e
+        """False if the marker was there already; of several callers one succeeds."""
+        at, aside = (self._path(f"{self.folder}/_commits/{x}") for x in (name, f"_{uuid.uuid4().hex}"))
+        stream = self._fs.create(aside, False)
         stream.write(json.dumps(what).encode())
         stream.close()
+        sc = self.spark.sparkContext
+        files = sc._jvm.org.apache.hadoop.fs.FileContext.getFileContext(aside.toUri() if aside.toUri().getScheme() else self._fs.getUri(), sc._jsc.hadoopConfiguration())
+        kinds = sc._jvm.org.apache.hadoop.fs.Options.Rename
+        how = sc._gateway.new_array(kinds, 1)
+        how[0] = kinds.NONE
+        broken = self._fs.exists(at) and name not in self._markers()
+        if broken:
+            how[0] = kinds.OVERWRITE
+        try:
+            files.rename(self._fs.makeQualified(aside), self._fs.makeQualified(at), how)
+        except Exception as e:  # noqa: BLE001
+            if not self._fs.exists(at):
+                raise e
+            self._fs.delete(aside, False)
+            return False
         return True
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
@@ -105,8 +125,10 @@ class Rollup:
         """
         if not re.fullmatch(r"[A-Za-z0-9_.-]+", batch):
             raise ValueError(f"not a batch id: {batch!r}")
+        if batch.startswith(("_", ".", "fold-")):
+            raise ValueError(f"a batch id of the rollup's own: {batch!r}")
         live = self._markers()
-        if batch in live or any(batch in x.get("folds", ()) for x in live.values()):
+        if batch in live:
             return False
         data = f"delta-{batch}-{uuid.uuid4().hex}"
         delta = changes.groupBy(*KEYS).agg(F.sum("sign").cast("long").alias("n_docs"), F.coalesce(F.sum(F.col("sign") * F.col("n_tokens")), F.lit(0)).cast("long").alias("n_tokens"))
@@ -117,53 +139,121 @@ class Rollup:
         return False
 
     def _current(self) -> dict[str, dict]:
+        """Markers whose data count: every batch once, whatever folds there are.
+
+        A fold counts if all that it folds counts and no fold before it, by name, has taken any of it.
+        """
         live = self._markers()
-        gone = {y for x in live.values() for y in x.get("folds", ())}
-        return {k: x for k, x in live.items() if k not in gone}
+        counts, taken = {k for k, x in live.items() if "folds" not in x}, set()
+        waiting = sorted(k for k, x in live.items() if "folds" in x)
+        while ready := [k for k in waiting if counts.issuperset(live[k]["folds"])]:
+            k = ready[0]
+            waiting.remove(k)
+            if taken.isdisjoint(live[k]["folds"]):
+                counts.add(k)
+                taken.update(live[k]["folds"])
+        return {k: live[k] for k in counts - taken}
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, n_docs, n_tokens over all committed batches."""
-        at = [f"{self.folder}/{x['data']}" for x in self._current().values()]
+        return self._sums(self._current())
+
+    def _sums(self, markers: dict[str, dict]) -> DataFrame:
+        at = [f"{self.folder}/{x['data']}" for x in markers.values()]
         rows = self.spark.read.schema(SCHEMA).parquet(*at) if at else self.spark.createDataFrame([], SCHEMA)
         sums = rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         return sums.filter((F.col("n_docs") != 0) | (F.col("n_tokens") != 0))
 
-    def compact(self) -> None:
-        """Folds all current batches into one; their ids stay committed."""
+    def compact(self) -> bool:
+        """Folds all current batches into one; their ids stay committed. False if there was nothing to fold, or another did it.
+
+        The marker is named by what it folds, so two that fold the same are one. Totals are of the
+        batches listed here, not of those that come while this runs.
+        """
         current = self._current()
-        if len(current) > 1:
-            data = f"fold-{uuid.uuid4().hex}"
-            self.totals().write.parquet(f"{self.folder}/{data}")
-            self._mark(data, {"data": data, "folds": sorted({*current, *(y for x in current.values() for y in x.get("folds", ()))})})
+        if len(current) < 2:
+            return False
+        name = f"fold-{hashlib.sha256(' '.join(sorted(current)).encode()).hexdigest()[:32]}"
+        data = f"{name}-{uuid.uuid4().hex}"
+        self._sums(current).write.parquet(f"{self.folder}/{data}")
+        if self._mark(name, {"data": data, "folds": sorted(current)}):
+            return True
+        self._fs.delete(self._path(f"{self.folder}/{data}"), True)
+        return False
 
 
-def corpus_rollup(docs: DataFrame, markup: str = r"<[^<>\n]{1,40}>") -> DataFrame:
+def later_copies(counted: DataFrame, values: list[str]) -> DataFrame:
+    """source, lang, copies and ``values`` of the documents whose text an earlier doc_id has.
+
+    ``counted`` has doc_id, source, lang, text_key and the values, which equal texts share. Copies are
+    added up by text, source and language on the map side first, so a text that a third of all
+    documents have costs a row for each source, language and task.
+    """
+    same = counted.filter("text_key is not null").groupBy("text_key", "source", "lang", "doc_id").agg(F.count(F.lit(1)).alias("c"), *[F.min(x).alias(x) for x in values])
+    by = same.groupBy("text_key", "source", "lang").agg(F.sum("c").alias("c"), F.min(F.struct("doc_id", "c")).alias("first"), *[F.min(x).alias(x) for x in values])
+    least = by.groupBy("text_key").agg(F.min("first.doc_id").alias("first_id"))
+    rows = by.join(least, "text_key").withColumn("copies", F.col("c") - F.when(F.col("first.doc_id") == F.col("first_id"), F.col("first.c")).otherwise(0))
+    return rows.filter("copies > 0").select("source", "lang", "copies", *values)
+
+
+def corpus_rollup(docs: DataFrame, markup: str = r"<[^<>\n]{1,40}>", tokenizers: dict[str, str | None] | None = None) -> DataFrame:
     """The rollup of a corpus that loads, gets cleaner texts, and loses its later exact copies.
 
-    Batches: ``load`` inserts every document under each native tokenizer version; ``clean`` revises
-    the counts of texts that lose inline markup; ``copies`` deletes documents whose text an earlier
-    doc_id has; and ``load`` comes a second time and must change nothing. A null text has 0 tokens
-    and is nobody's copy; of repeated rows (same doc_id and text) all stay, as none is later. An
-    empty table gives no rows. Of ``docs`` only doc_id, text, source and lang are read.
+    Batches: ``load`` inserts every document under each tokenizer version; ``clean`` revises the
+    counts of texts that lose inline markup; ``copies`` deletes documents whose text an earlier
+    doc_id has; and ``load`` comes a second time and must change nothing. Tokenizer versions are
+    NATIVE, or those of ``tokenizers``: names and paths of their files (None: the default one). A
+    null text has 0 tokens and is nobody's copy; of repeated rows (same doc_id and text) all stay,
+    as none is later. A null doc_id is no copy and has none. An empty table gives no rows. Of
+    ``docs`` only doc_id, text, source and lang are read.
     """
     spark = docs.sparkSession
     scratch = common.Scratch(spark, "token-rollup")
     text = common.text_or_empty(docs)
     cleaned = F.when(F.contains(text, F.lit("<")), F.regexp_replace(text, markup, "")).otherwise(text)
-    counted = docs.select(
-        "doc_id", "source", "lang", F.when(docs["text"].isNotNull(), F.sha2(text, 256)).alias("text_key"),
-        *[f(text).alias(f"old_{k}") for k, f in enumerate(NATIVE.values())],
-        *[f(cleaned).alias(f"new_{k}") for k, f in enumerate(NATIVE.values())],
-    )
+    key = F.when(docs["text"].isNotNull() & docs["doc_id"].isNotNull(), F.sha2(text, 256)).alias("text_key")
+    names = list(NATIVE if tokenizers is None else tokenizers)
+    columns = [f"{x}_{k}" for k in range(len(names)) for x in ("old", "new")]
+    if tokenizers is None:
+        counted = docs.select("doc_id", "source", "lang", key, *[f(x).alias(f"{when}_{k}") for k, f in enumerate(NATIVE.values()) for when, x in (("old", text), ("new", cleaned))])
+    else:
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", key, text.alias("old"), F.when(cleaned != text, cleaned).alias("new"))
+        counted = _bpe_columns(texts, list(tokenizers.values()), columns)
     counted = scratch.cut(counted, "counts")  # 60 bytes a document; the texts are read once
-    both = lambda f: functools.reduce(DataFrame.unionByName, [f(k, name) for k, name in enumerate(NATIVE)])
-    first = counted.filter("text_key is not null").groupBy("text_key").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
-    later = counted.join(first, "text_key").filter("doc_id > first_id")
+    both = lambda f: functools.reduce(DataFrame.unionByName, [f(k, name) for k, name in enumerate(names)])
+    later = scratch.cut(later_copies(counted, [x for x in columns if x.startswith("new")]), "later")
     rollup = Rollup(spark, scratch.path("state"))
     load = both(lambda k, name: inserts(counted, name, F.col(f"old_{k}")))
     rollup.commit("load", load)
     rollup.commit("clean", both(lambda k, name: revisions(counted.filter(F.col(f"old_{k}") != F.col(f"new_{k}")), name, F.col(f"old_{k}"), F.col(f"new_{k}"))))
-    rollup.commit("copies", both(lambda k, name: deletes(later, name, F.col(f"new_{k}"))))
+    # So many copies of one text are one change with that sign.
+    rollup.commit("copies", both(lambda k, name: later.select("source", "lang", F.lit(name).alias("tokenizer"), (-F.col("copies")).alias("sign"), F.col(f"new_{k}").alias("n_tokens"))))
     rollup.commit("load", load)
-    scratch.drop("counts")
+    scratch.drop("counts", "later")
     return rollup.totals()
+
+
+def _bpe_columns(texts: DataFrame, paths: list[str | None], columns: list[str]) -> DataFrame:
+    """doc_id, source, lang, text_key and, per tokenizer, the ids of ``old`` and of ``new`` (null: as old)."""
+    held = texts.sparkSession.sparkContext.broadcast([common.tokenizer_json(x) for x in paths])  # files of fixed sizes
+
+    def make():
+        from .bpe import Encoder
+
+        own = [Encoder(x) for x in held.value]
+
+        def f(rows: pa.RecordBatch) -> pa.RecordBatch:
+            old, new = rows.column(4).to_pylist(), rows.column(5).to_pylist()
+            out = []
+            for e in own:
+                n = [len(x) // 4 for x in e.encode(old)]
+                changed = [k for k, x in enumerate(new) if x is not None]
+                m = list(n)
+                for k, x in zip(changed, e.encode([new[k] for k in changed]), strict=True):
+                    m[k] = len(x) // 4
+                out += [pa.array(n, pa.int64()), pa.array(m, pa.int64())]
+            return pa.RecordBatch.from_arrays([*rows.columns[:4], *out], names=["doc_id", "source", "lang", "text_key", *columns])
+
+        return f
+
+    return common.map_arrow(texts, make, ", ".join(["doc_id long, source string, lang string, text_key string", *[f"{x} long" for x in columns]]), text=4)
