@@ -1,10 +1,10 @@
 """Chat formatting of reply trees.
 
 Messages form trees by parent. Self-joins that double the distance of a pointer each round give
-every message its depth and the sum of scores from the root; leaves are ranked by mean score; the
-same pointers, read from the longest down, enumerate the messages of the chosen paths. Each chosen
-path is formatted as one conversation, in segments of bounded length, with the spans of the loss
-mask. Control strings inside texts are escaped reversibly.
+every message its depth and the sum of scores from the root; branches are ranked by their mean
+score; the same pointers, read from the longest down, enumerate the messages of the chosen paths.
+A path is named by its leaf. Each is formatted as one conversation, in segments of bounded length,
+with the spans of the loss mask. Control strings inside texts are escaped reversibly.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ from . import common
 START, END = "<|im_start|>", "<|im_end|>"
 #: Code points of a segment, about.
 SEGMENT = 1 << 20
-FORMATTED = "conv_id long, first_pos long, text string, turns array<struct<role_start:int,text_start:int,text_end:int,loss:boolean>>"
-DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+FORMATTED = "conv_id long, leaf long, first_pos long, text string, turns array<struct<role_start:int,text_start:int,text_end:int,loss:boolean>>"
+DIGEST = "conv_id long, leaf long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
 def escape(text: str) -> str:
@@ -58,56 +58,56 @@ def chat_tree(conversations: DataFrame, scratch: common.Scratch) -> DataFrame:
     return linked.select("conv_id", "node", F.when(same, F.col("node") - 1).alias("parent"), "role", "text", F.lit(1.0).alias("score"))
 
 
-def paths(messages: DataFrame, scratch: common.Scratch) -> DataFrame:
-    """conv_id, node, pos: the messages of each conversation's best root-to-leaf path.
+def paths(messages: DataFrame, scratch: common.Scratch, most: int | None = 1) -> DataFrame:
+    """conv_id, leaf, mean, node, pos: the messages of root-to-leaf paths, pos 0 at the root.
 
-    Rounds: the logarithm of the depth. Branches are ranked by mean score; of equals the longer
-    one is taken, then the one with the smaller leaf. A parent that is no message of the table makes
-    its child a root. Messages on a cycle reach no root and belong to no path.
+    All paths if ``most`` is None, else the ``most`` best ones of each conversation: those of the greatest mean score, of
+    equals the longer one, then the one with the smaller leaf. Rounds: the logarithm of the depth. A
+    parent that is no message of the table makes its child a root. Messages on a cycle, or below
+    one, reach no root and belong to no path. Nodes are distinct and not null.
     """
     nodes = messages.select("conv_id", "node", "parent", "score")
-    known = nodes.select(F.col("node").alias("parent")).distinct()
-    nodes = scratch.cut(nodes.join(known.withColumn("_known", F.lit(True)), "parent", "left").select("conv_id", "node", F.when(F.col("_known"), F.col("parent")).alias("up"), "score"), "nodes")
+    known = nodes.select(F.col("node").alias("parent"), F.lit(True).alias("_known"))
+    # Roots have no key to join by: all of them would meet in one task.
+    replies = nodes.filter("parent is not null").join(known, "parent", "left").select("conv_id", "node", F.when(F.col("_known"), F.col("parent")).alias("up"), "score")
+    roots = nodes.filter("parent is null").select("conv_id", "node", F.lit(None).cast("long").alias("up"), "score")
+    nodes = scratch.cut(replies.unionByName(roots), "nodes")
     level = nodes.select("node", "up", F.col("score").alias("sum"), F.lit(1).cast("long").alias("steps"))
-    done = scratch.cut(level.filter("up is null").select("node", "sum", "steps"), "done0")
-    finished = [done]
-    active = scratch.cut(level.filter("up is not null"), "up0")
-    jumps, k, left = [active], 0, active.count()
+    done = level.filter("up is null").select("node", "sum", "steps")
+    active = level.filter("up is not null")
+    jumps, k, left = [], 0, active.count()
     while left:
-        # Those that ended are found in ``done`` tables, the others in the level itself.
-        ended = finished[0]
-        for x in finished[1:]:
-            ended = ended.unionByName(x)
-        target = active.unionByName(ended.withColumn("up", F.lit(None).cast("long"))).select(F.col("node").alias("up"), F.col("up").alias("_up"), F.col("sum").alias("_sum"), F.col("steps").alias("_steps"))
+        jumps.append(active)
         k += 1
+        # Those that ended are in ``done``, the others in the level itself.
+        target = active.unionByName(done.withColumn("up", F.lit(None).cast("long"))).select(F.col("node").alias("up"), F.col("up").alias("_up"), F.col("sum").alias("_sum"), F.col("steps").alias("_steps"))
         joined = scratch.cut(active.join(target, "up").select("node", F.col("_up").alias("up"), (F.col("sum") + F.col("_sum")).alias("sum"), (F.col("steps") + F.col("_steps")).alias("steps")), f"round{k}")
-        finished.append(joined.filter("up is null").select("node", "sum", "steps"))
+        done = done.unionByName(joined.filter("up is null").select("node", "sum", "steps"))
         active = joined.filter("up is not null")
-        now = active.count()
-        if now and now == left and k > 40:
-            break  # only cycles are left
-        left = now
-        if left:
-            jumps.append(active)
-    ended = finished[0]
-    for x in finished[1:]:
-        ended = ended.unionByName(x)
-    leaves = nodes.join(nodes.select(F.col("up").alias("node")).filter("node is not null").distinct(), "node", "left_anti").select("conv_id", "node")
-    ranked = leaves.join(ended, "node").groupBy("conv_id").agg(F.max(F.struct((F.col("sum") / F.col("steps")).alias("mean"), F.col("steps"), (-F.col("node")).alias("leaf"))).alias("best"))
-    chosen = scratch.cut(ranked.select("conv_id", (-F.col("best.leaf")).alias("node"), (F.col("best.steps") - 1).alias("pos")), "chosen")
-    at = chosen
+        # Of those that reach a root some end in each round; if none did, only cycles are left.
+        before, left = left, active.count()
+        if left == before:
+            break
+    leaves = nodes.join(nodes.filter("up is not null").select(F.col("up").alias("node")).distinct(), "node", "left_anti").select("conv_id", "node")
+    ranked = leaves.join(done, "node").select("conv_id", F.col("node").alias("leaf"), (F.col("sum") / F.col("steps")).alias("mean"), "steps")
+    if most is not None:
+        best = Window.partitionBy("conv_id").orderBy(F.desc("mean"), F.desc("steps"), "leaf")  # limited on the map side first
+        ranked = ranked.withColumn("_rank", F.row_number().over(best)).filter(F.col("_rank") <= most).drop("_rank")
+    at = scratch.cut(ranked.select("conv_id", "leaf", "mean", F.col("leaf").alias("node"), (F.col("steps") - 1).alias("pos")), "chosen")
     for j in range(len(jumps) - 1, -1, -1):
-        step = 1 << j
-        up = at.join(jumps[j].select("node", F.col("up").alias("_up")), "node").select("conv_id", F.col("_up").alias("node"), (F.col("pos") - step).alias("pos"))
+        up = at.join(jumps[j].select("node", F.col("up").alias("_up")), "node").select("conv_id", "leaf", "mean", F.col("_up").alias("node"), (F.col("pos") - (1 << j)).alias("pos"))
+        # Above a fork both paths have the message, each under its own leaf.
         at = scratch.cut(at.unionByName(up), f"path{j}")
+        scratch.drop("chosen" if j == len(jumps) - 1 else f"path{j + 1}")
     return at
 
 
 def format_paths(messages: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Formatted segments: a conversation is its segments in the order of ``first_pos``."""
-    rows = chosen.join(messages.select("node", "role", "text"), "node").select("conv_id", "pos", "role", "text")
+    """Formatted segments: a path (conv_id, leaf) is its segments in the order of ``first_pos``."""
+    rows = chosen.join(messages.select("node", "role", "text"), "node").select("conv_id", "leaf", "pos", "role", "text")
     # Long conversations may be shared out: a range holds neighbouring positions.
-    rows = rows.repartitionByRange(common.parts_for(rows), "conv_id", "pos").sortWithinPartitions("conv_id", "pos")
+    order = ["conv_id", "leaf", "pos"]
+    rows = rows.repartitionByRange(common.parts_for(rows), *order).sortWithinPartitions(*order)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, first, size = None, 0, 0
@@ -117,27 +117,27 @@ def format_paths(messages: DataFrame, chosen: DataFrame) -> DataFrame:
         held = 0
 
         def batch() -> pa.RecordBatch:
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("role_start", pa.int32()), ("text_start", pa.int32()), ("text_end", pa.int32()), ("loss", pa.bool_())]))]
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["conv_id", "first_pos", "text", "turns"])
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("role_start", pa.int32()), ("text_start", pa.int32()), ("text_end", pa.int32()), ("loss", pa.bool_())]))]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["conv_id", "leaf", "first_pos", "text", "turns"])
 
         for rows in it:
-            for some in common.batches(rows, 3):
-                for conv, pos, role, said in zip(*(c.to_pylist() for c in some.columns), strict=True):
-                    if turns and (conv != now or size >= SEGMENT):
-                        out.append((now, first, "".join(text), turns))
+            for some in common.batches(rows, 4):
+                for conv, leaf, pos, role, said in zip(*(c.to_pylist() for c in some.columns), strict=True):
+                    if turns and ((conv, leaf) != now or size >= SEGMENT):
+                        out.append((*now, first, "".join(text), turns))
                         held += size
                         text, turns, size = [], [], 0
                         if held >= SEGMENT:
                             yield batch()
                             out, held = [], 0
                     if not turns:
-                        now, first = conv, pos
+                        now, first = (conv, leaf), pos
                     head, body = f"{START}{escape_role(role)}\n", escape(said)
                     turns.append({"role_start": size + len(START), "text_start": size + len(head), "text_end": size + len(head) + len(body), "loss": role == "assistant"})
                     text += [head, body, f"{END}\n"]
                     size += len(head) + len(body) + len(END) + 1
         if turns:
-            out.append((now, first, "".join(text), turns))
+            out.append((*now, first, "".join(text), turns))
         if out:
             yield batch()
 
@@ -154,12 +154,12 @@ def unescape_role(role: str) -> str:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Digests of the formatted conversations: everything comes from their text and its spans.
+    """DIGEST of the formatted paths: everything comes from their text and its spans.
 
-    A digest of a whole conversation is taken in order, in one task that streams its segments and
-    holds one at a time.
+    A digest of a whole path is taken in order, in one task that streams its segments and holds one
+    at a time.
     """
-    rows = formatted.repartition(common.parts_for(formatted), "conv_id").sortWithinPartitions("conv_id", "first_pos")
+    rows = formatted.repartition(common.parts_for(formatted), "conv_id", "leaf").sortWithinPartitions("conv_id", "leaf", "first_pos")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state = None, None
@@ -167,18 +167,18 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
         def done() -> None:
             if state:
-                out.append((now, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]))
+                out.append((*now, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]))
 
         def batch() -> pa.RecordBatch:
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in DIGEST.split(", ")])
 
         for rows in it:
-            for some in common.batches(rows, 2):
-                for conv, _, text, turns in zip(*(c.to_pylist() for c in some.columns), strict=True):
-                    if state is None or conv != now:
+            for some in common.batches(rows, 3):
+                for conv, leaf, _, text, turns in zip(*(c.to_pylist() for c in some.columns), strict=True):
+                    if state is None or (conv, leaf) != now:
                         done()
-                        now, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                        now, state = (conv, leaf), [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
                     state[4] += len(text)
                     for t in turns:
                         role = unescape_role(text[t["role_start"] : t["text_start"] - 1])
@@ -198,8 +198,18 @@ def read_back(formatted: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, DIGEST)
 
 
+def format_trees(messages: DataFrame, scratch: common.Scratch, most: int | None = None) -> DataFrame:
+    """FORMATTED segments of the ``most`` best paths (all if None) of each conversation's trees.
+
+    ``messages`` has conv_id, node, parent, role, text and score; null roles and texts are empty. An
+    empty table gives no rows; see ``paths`` for ranks, ties, cycles and missing parents.
+    """
+    messages = messages.withColumns({"role": F.coalesce("role", F.lit("")), "text": F.coalesce("text", F.lit(""))})
+    return scratch.cut(format_paths(messages, paths(messages, scratch, most)), "formatted")
+
+
 def format_chats(conversations: DataFrame) -> DataFrame:
-    """Formats every chat as its best path, writes that, and gives digests of what is read back.
+    """Formats every chat as its path, writes that, and gives digests of what is read back.
 
     Null texts and roles are empty. Rows that tie in (conv_id, turn) follow by role and text, and
     repeated rows are turns each. A null conv_id is a conversation of its own. An empty table gives
@@ -208,5 +218,4 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     scratch = common.Scratch(conversations.sparkSession, "chats")
     messages = scratch.cut(chat_tree(conversations, scratch), "messages")
     scratch.drop("sorted", "numbered")
-    formatted = scratch.cut(format_paths(messages, paths(messages, scratch)), "formatted")
-    return read_back(formatted)
+    return read_back(format_trees(messages, scratch)).drop("leaf")
