@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, license_scan, near_dedup, packing, quality_hosts, reply_trees, secret_scan, shard_tree, token_files, token_rollup
-from .common import read
+from .common import Scratch, read
 
 
 def op1_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +52,34 @@ def op10_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reply_trees.format_chats(chats.unionByName(probe))
 
 
+def token_rollup_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op1's rollup with the counts of a byte-level BPE tokenizer, which SQL cannot express."""
+    return token_rollup.corpus_rollup(read(spark, sf_dir, "documents"), tokenizers={"byte_bpe_50k.1": None})
+
+
+#: Rows of a host of its own for ``quality_bad_host``: most short documents, and a few of the others.
+_MOVED = "(length(coalesce(text, '')) < 300 and doc_id % 8 <> 0) or doc_id % 100 = 7"
+
+
+def quality_bad_host(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op6's verdicts by host where one host has most of the short documents."""
+    docs = read(spark, sf_dir, "documents").withColumn("source", F.when(F.expr(_MOVED), "bad.example").otherwise(F.col("source")))
+    rows = quality_hosts.counts(docs)
+    hosts = quality_hosts.host_verdicts(rows.select("host", *quality_hosts.rule_columns()))
+    return hosts.select(F.col("host").alias("source"), "n", "failed", F.round("rate", 6).alias("rate"), "host_kept")
+
+
+def reply_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op10's best path of every conversation, where every third turn answers the turn before the last."""
+    chats = read(spark, sf_dir, "conversations")
+    turn = F.col("turn").cast("long")
+    parent = F.when(turn > 0, F.col("conv_id") * 1_000_000 + turn - F.when((turn >= 2) & (turn % 3 == 0), 2).otherwise(1))
+    messages = chats.select("conv_id", (F.col("conv_id") * 1_000_000 + turn).alias("node"), parent.alias("parent"), (F.length(F.coalesce("text", F.lit(""))) % 7).cast("double").alias("score"))
+    messages = messages.groupBy("conv_id", "node", "parent").agg(F.max("score").alias("score"))  # a turn that is there twice is one message
+    best = reply_trees.paths(messages, Scratch(spark, "branches"), most=1)
+    return best.groupBy("conv_id", "leaf").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("mean"), 6).alias("mean"), F.sum("node").alias("nodes"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -60,13 +88,35 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_rollup, op2_license_scan, op3_near_dedup, op4_token_files, op5_decontaminate, op6_quality_hosts, op7_shard_tree, op8_packing, op9_secret_scan, op10_reply_trees, pipeline)
+    for f in (op1_token_rollup, op2_license_scan, op3_near_dedup, op4_token_files, op5_decontaminate, op6_quality_hosts, op7_shard_tree, op8_packing, op9_secret_scan, op10_reply_trees, token_rollup_bpe, quality_bad_host, reply_branches, pipeline)
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD = r"[^\x20\x09-\x0D]+"
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+#: Of host(source, n, f): the beta prior from all hosts, and each host's verdict.
+_PRIOR = """m AS (SELECT sum(f) / sum(n) AS mean, sum(n) AS n, count(*) AS k, sum(f * f / n) AS s2, sum(n * n) AS n2 FROM host
+), e AS (SELECT mean, k, s2 - n * mean * mean - (k - 1) * (mean * (1 - mean)) AS more, (mean * (1 - mean)) * (n - n2 / n - (k - 1)) AS room FROM m
+), s AS (SELECT mean, CASE WHEN k < 2 OR more <= 0 OR room <= 0 THEN 1000.0 ELSE least(1000.0, greatest(2.0, room / more - 1)) END AS strength FROM e
+), prior AS (
+  SELECT CASE WHEN mean > 0 AND mean < 1 THEN mean * strength ELSE 2 * mean + 0.5 END AS alpha, CASE WHEN mean > 0 AND mean < 1 THEN (1 - mean) * strength ELSE 2 * (1 - mean) + 0.5 END AS beta FROM s
+)"""
+_VERDICT = """SELECT source, n, f, rate, rate - 3.09 * sqrt(rate * (1 - rate) / (n + alpha + beta + 1)) <= 0.5 AS host_kept
+  FROM (SELECT source, n, f, alpha, beta, (f + alpha) / (n + alpha + beta) AS rate FROM host, prior)"""
+
+_COUNTS = rf"""WITH t AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws FROM {{docs}}
+), win AS (SELECT doc_id, k, ws[k] || ' ' || ws[k + 1] || ' ' || ws[k + 2] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS k FROM t WHERE len(ws) > 2)
+), again AS (SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win
+), rep AS (SELECT doc_id, count(DISTINCT p) AS c FROM (SELECT doc_id, unnest([k, k + 1, k + 2]) AS p FROM again WHERE c > 1) GROUP BY 1
+), line AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM t
+), lines AS (SELECT doc_id, count(*) AS n, count(*) - count(DISTINCT x) AS dup FROM line WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY 1
+), c AS MATERIALIZED (
+  SELECT doc_id, source, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+    coalesce(lines.dup, 0)::BIGINT AS n_dup_lines, coalesce(rep.c, 0)::BIGINT AS n_repeat_words, coalesce(lines.n, 0) AS n_lines
+  FROM t LEFT JOIN lines USING (doc_id) LEFT JOIN rep USING (doc_id)
+"""
+
 ORACLES = {
     "op1_token_rollup": rf"""
 WITH t AS (
@@ -110,25 +160,10 @@ WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all({_LOWER}, '{_ALNUM}')
 SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(words.c, 0)::BIGINT AS n_hit, coalesce(items.c, 0)::BIGINT AS n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(items.c, 0) >= 2 AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
-    "op6_quality_hosts": rf"""
-WITH t AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws FROM documents
-), win AS (SELECT doc_id, k, ws[k] || ' ' || ws[k + 1] || ' ' || ws[k + 2] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS k FROM t WHERE len(ws) > 2)
-), again AS (SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win
-), rep AS (SELECT doc_id, count(DISTINCT p) AS c FROM (SELECT doc_id, unnest([k, k + 1, k + 2]) AS p FROM again WHERE c > 1) GROUP BY 1
-), line AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM t
-), lines AS (SELECT doc_id, count(*) AS n, count(*) - count(DISTINCT x) AS dup FROM line WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY 1
-), c AS MATERIALIZED (
-  SELECT doc_id, source, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
-    coalesce(lines.dup, 0)::BIGINT AS n_dup_lines, coalesce(rep.c, 0)::BIGINT AS n_repeat_words, coalesce(lines.n, 0) AS n_lines
-  FROM t LEFT JOIN lines USING (doc_id) LEFT JOIN rep USING (doc_id)
-), f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 10 * n_symbols > word_chars OR 2 * n_dup_lines > n_lines AS failed FROM c
-), host AS (SELECT source, count(*) AS n, count(*) FILTER (failed) AS f FROM f GROUP BY 1
-), m AS (SELECT sum(f) / sum(n) AS mean, sum(n * (f / n) * (f / n)) / sum(n) - (sum(f) / sum(n)) ** 2 AS var, count(*) AS k FROM host
-), s AS (SELECT mean, CASE WHEN k < 2 OR var <= 1e-9 THEN 1000.0 ELSE least(1000.0, greatest(2.0, mean * (1 - mean) / var - 1)) END AS strength FROM m
-), prior AS (
-  SELECT CASE WHEN mean > 0 AND mean < 1 THEN mean * strength ELSE 2 * mean + 0.5 END AS alpha, CASE WHEN mean > 0 AND mean < 1 THEN (1 - mean) * strength ELSE 2 * (1 - mean) + 0.5 END AS beta FROM s
-), verdict AS (SELECT source, (f + alpha) / (n + alpha + beta) <= 0.9 AS good FROM host, prior)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND good AS kept
+    "op6_quality_hosts": rf"""{_COUNTS.format(docs="documents")}), f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 10 * n_symbols > word_chars OR 2 * n_dup_lines > n_lines AS failed FROM c
+), host AS (SELECT source, count(*)::DOUBLE AS n, (count(*) FILTER (failed))::DOUBLE AS f FROM f GROUP BY 1
+), {_PRIOR}, verdict AS ({_VERDICT})
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT failed AND host_kept AS kept
 FROM f JOIN verdict ON f.source IS NOT DISTINCT FROM verdict.source""",
     "op10_reply_trees": r"""
 WITH c AS (
@@ -142,4 +177,19 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(length('<|im_start|>') + length(who) + 1 + length(said) + length('<|im_end|>') + 1)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id""",
+    "quality_bad_host": rf"""{_COUNTS.format(docs=f"(SELECT * REPLACE (CASE WHEN {_MOVED} THEN 'bad.example' ELSE source END AS source) FROM documents)")}
+), f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 10 * n_symbols > word_chars OR 2 * n_dup_lines > n_lines AS failed FROM c
+), host AS (SELECT source, count(*)::DOUBLE AS n, (count(*) FILTER (failed))::DOUBLE AS f FROM f GROUP BY 1
+), {_PRIOR}
+SELECT source, n::BIGINT AS n, f::BIGINT AS failed, round(rate, 6) AS rate, host_kept FROM ({_VERDICT})""",
+    "reply_branches": r"""
+WITH RECURSIVE m AS (
+  SELECT conv_id, conv_id * 1000000 + turn AS node, CASE WHEN turn > 0 THEN conv_id * 1000000 + turn - CASE WHEN turn >= 2 AND turn % 3 = 0 THEN 2 ELSE 1 END END AS parent, max(length(coalesce(text, '')) % 7)::DOUBLE AS score
+  FROM conversations GROUP BY ALL
+), up AS (SELECT conv_id, node, CASE WHEN parent IN (SELECT node FROM m) THEN parent END AS parent, score FROM m
+), walk AS (
+  SELECT conv_id, node, score AS total, 1 AS n, node::HUGEINT AS nodes FROM up WHERE parent IS NULL
+  UNION ALL SELECT up.conv_id, up.node, walk.total + up.score, walk.n + 1, walk.nodes + up.node FROM walk JOIN up ON up.parent = walk.node
+), leaf AS (SELECT *, total / n AS mean, row_number() OVER (PARTITION BY conv_id ORDER BY total / n DESC, n DESC, node) AS r FROM walk WHERE node NOT IN (SELECT parent FROM up WHERE parent IS NOT NULL))
+SELECT conv_id, node AS leaf, n::BIGINT AS n, round(mean, 6) AS mean, nodes::BIGINT AS nodes FROM leaf WHERE r = 1""",
 }

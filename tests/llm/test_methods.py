@@ -1,0 +1,168 @@
+"""What the operators' methods promise beyond the base columns."""
+
+import hashlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from marlstone.llm import common, near_dedup, quality_hosts, queries, reply_trees, shard_tree, token_files, token_rollup
+from test_operators import brute_groups, none, odd, rows  # noqa: F401
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def batch(spark, n):
+    return token_rollup.inserts(spark.createDataFrame([("s", "en", n)], "source string, lang string, n long"), "t", F.col("n"))
+
+
+def state(r):
+    return [(x["n_docs"], x["n_tokens"]) for x in r.totals().collect()]
+
+
+def test_two_folds_at_once_count_once(spark, tmp_path):
+    r = token_rollup.Rollup(spark, str(tmp_path))
+    for k in (1, 2, 3):
+        r.commit(f"b{k}", batch(spark, k))
+    seen = r._current()
+    other = token_rollup.Rollup(spark, str(tmp_path))
+    other._current = lambda: seen  # listed before the first fold was done
+    assert r.compact() and not other.compact() and state(r) == [(3, 6)]
+    part = token_rollup.Rollup(spark, str(tmp_path))
+    part._current = lambda: {k: v for k, v in seen.items() if k != "b3"}  # an older listing: folds that overlap
+    assert part.compact() and state(r) == [(3, 6)]
+    r.commit("b4", batch(spark, 10))
+    assert r.compact() and state(r) == [(4, 16)] and not r.commit("b2", batch(spark, 2))
+
+
+def test_marker_that_was_never_finished(spark, tmp_path):
+    r = token_rollup.Rollup(spark, str(tmp_path))
+    (tmp_path / "_commits" / "_aside").write_text('{"da')
+    (tmp_path / "_commits" / "b1").write_text("")
+    assert state(r) == [] and r.commit("b1", batch(spark, 5)) and state(r) == [(1, 5)] and not r.commit("b1", batch(spark, 5))
+
+
+def test_bpe_rollup_equals_brute_force(spark):
+    import re
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    docs = rows(spark.read.parquet(f"{SMALL}/documents.parquet"))
+    want, first = Counter(), {}
+    for x in sorted(docs, key=lambda x: x["doc_id"]):
+        if first.setdefault(x["text"], x["doc_id"]) == x["doc_id"] or x["text"] is None:
+            clean = re.sub(r"<[^<>\n]{1,40}>", "", x["text"] or "")
+            want[x["source"], x["lang"]] += np.array([1, len(t.encode(clean, add_special_tokens=False).ids)])
+    got = {(x["source"], x["lang"]): (x["n_docs"], x["n_tokens"]) for x in rows(queries.token_rollup_bpe(spark, SMALL))}
+    assert got == {k: tuple(v) for k, v in want.items()}
+
+
+def test_one_text_in_many_places(spark):
+    made = [(k, "same", f"s{k % 3}", "en") for k in range(30)] + [(0, "same", "s9", "en"), (None, "same", "s0", "en")]
+    got = {x["source"]: x["n_docs"] for x in rows(token_rollup.corpus_rollup(spark.createDataFrame(made, "doc_id long, text string, source string, lang string"))) if x["tokenizer"] == "words.1"}
+    assert got == {"s0": 2, "s9": 1}
+
+
+def test_token_files_of_few_or_no_documents(spark, none):  # noqa: F811
+    assert token_files.digests(none).count() == 0
+    one = spark.createDataFrame([(1, "a b c " * 3000)], "doc_id long, text string")
+    scratch = common.Scratch(spark, "t")
+    token_files.write(one, scratch.dir)
+    assert spark.read.parquet(f"{scratch.dir}/dictionary").first()[0] and token_files.read(spark, scratch.dir).count() == 1
+    many = spark.range(20_000).select("id", F.concat(F.lit("text "), F.col("id") % 5000).alias("text"))
+    assert 350 <= len(token_files.sample(many)) <= 1000  # of 5000 texts, four copies each
+
+
+def test_runs_that_partitions_cut(spark):
+    rng = np.random.default_rng(21)
+    made = []
+    for k in range(60):
+        w = [f"b{k % 4}w{i}" for i in range(60)]
+        for at in rng.integers(0, 60, rng.integers(0, 8)):
+            w[at] = f"n{rng.integers(0, 50)}"
+        made.append((k, " ".join(w)))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in ("1", "150"):  # 60 * 32 rows: many partitions hold fewer rows than a run may have
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            got = {x["doc_id"]: x["component_id"] for x in rows(near_dedup.group(spark.createDataFrame(made, "doc_id long, text string"), 2))}
+            assert got == brute_groups(made, 2, 80)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_region_without_rare_shingles(spark, monkeypatch):
+    """Two-way words: every shingle is in half of the texts, so frequent ones are merged and dealt in blocks."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    monkeypatch.setattr(near_dedup, "MANY", 4)
+    rng = np.random.default_rng(7)
+    bits = rng.integers(0, 2, (260, 30))
+    for k in range(20):
+        bits[259 - k] = bits[k]
+        bits[259 - k][rng.choice(30, 5, replace=False)] ^= 1
+    made = [(k, " ".join(f"f{i} g{i} {'ab'[b]}{i}" for i, b in enumerate(x)) + " end") for k, x in enumerate(bits)]
+    got = {x["doc_id"]: x["component_id"] for x in rows(near_dedup.group(spark.createDataFrame(made, "doc_id long, text string"), 2))}
+    assert got == brute_groups(made, 2, 80) and len(set(got.values())) <= 240
+
+
+def test_documents_without_id(spark):
+    made = [(None, "one two three"), (None, "one two three"), (None, "four five six"), (None, "FOUR five six"), (None, ""), (None, None), (1, "one two three"), (2, ""), (3, None), (3, None)]
+    got = sorted((tuple(x) for x in near_dedup.keep_one(spark.createDataFrame(made, "doc_id long, text string"), 2).collect()), key=str)
+    assert [x[0] for x in got if x[0] is not None] == [1, 2, 3]
+    assert sorted(str(x[1]).lower() for x in got if x[0] is None) == ["", "four five six", "none"]
+
+
+def test_prior_takes_chance_off():
+    rng = np.random.default_rng(3)
+    n = rng.integers(2, 12, 4000).astype(float)
+    fixed, spread = rng.binomial(n.astype(int), 0.2).astype(float), rng.binomial(n.astype(int), rng.beta(2, 8, 4000)).astype(float)
+    fit = lambda f: sum(quality_hosts.beta_prior(f.sum(), n.sum(), len(n), (f * f / n).sum(), (n * n).sum()))
+    assert fit(fixed) > 60 and 7 < fit(spread) < 14
+
+
+def test_bad_host_is_rejected(spark):
+    got = {x["source"]: x for x in rows(queries.quality_bad_host(spark, "/root/testdata/sf0.01"))}
+    assert not got["bad.example"]["host_kept"] and sum(x["host_kept"] for x in got.values()) == len(got) - 1
+    assert got["bad.example"]["failed"] < got["bad.example"]["n"]  # documents that break no rule go with it
+
+
+def test_cycles_and_forks(spark):
+    tree = [(1, 1, None, 1.0), (1, 2, 1, 1.0), (1, 3, 1, 2.0), (2, 10, 12, 1.0), (2, 11, 10, 1.0), (2, 12, 11, 1.0), (2, 13, 12, 1.0), (3, 20, None, 0.0)] + [(4, 100 + k, 99 + k if k else None, 1.0) for k in range(70)]
+    m = spark.createDataFrame([(*x, "assistant", f"m{x[1]}") for x in tree], "conv_id long, node long, parent long, score double, role string, text string")
+    got = {}
+    for x in sorted(rows(reply_trees.paths(m, common.Scratch(spark, "t"), None)), key=lambda r: r["pos"]):
+        got.setdefault((x["conv_id"], x["leaf"]), []).append(x["node"])
+    assert got == {(1, 2): [1, 2], (1, 3): [1, 3], (3, 20): [20], (4, 169): list(range(100, 170))}
+    done = rows(reply_trees.read_back(reply_trees.format_trees(m, common.Scratch(spark, "t"))))
+    said = {(x["conv_id"], x["leaf"]): x["loss_sha256"] for x in done}
+    assert said[1, 3] == hashlib.sha256(b"m1m3").hexdigest() and said[1, 2] == hashlib.sha256(b"m1m2").hexdigest() and len(said) == 4
+
+
+def by_hand(key, tree):
+    """The tree descent with hashes taken one by one."""
+
+    def draw(node, weight):
+        seed = xxhash.xxh64_intdigest(key.encode(), 42)
+        u = ((xxhash.xxh64_intdigest(node.encode(), seed) >> 11) + 0.5) / 2**53
+        return -np.log(u) / weight
+
+    own, name = tree, ""
+    for level in (0, 1, 2):
+        parts = {}
+        for x in own:
+            parts.setdefault(str(x[level]), []).append(x)
+        best = min(parts, key=lambda p: draw(f"{name}/{p}", sum(x.weight for x in parts[p]))) if len(parts) > 1 else next(iter(parts))
+        own, name = parts[best], f"{name}/{best}"
+    return own[0].shard
+
+
+@pytest.mark.parametrize("uneven", [False, True])
+def test_shards_by_hand(spark, uneven):
+    tree = shard_tree.topology(8)
+    if uneven:
+        tree = [x._replace(weight=1.0 + x.shard % 3) for x in tree]
+    got = spark.range(300).select("id", shard_tree.shard_of(F.col("id"), tree).alias("s"), shard_tree.shard_of(F.col("id"), shard_tree.grow(tree)).alias("g")).collect()
+    assert [(x["s"], x["g"]) for x in got] == [(by_hand(str(k), tree), by_hand(str(k), shard_tree.grow(tree))) for k in range(300)]
