@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -84,10 +87,24 @@ def batches(rows: pa.RecordBatch, text: int, most: int = BATCH_BYTES) -> Iterato
         yield rows.slice(begin)
 
 
-def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | Iterable[pa.RecordBatch]]], schema: str, text: int | None = None) -> DataFrame:
+def release() -> None:
+    """Gives up what an encoder of an earlier stage has kept in this worker."""
+    bpe = sys.modules.get(f"{__package__}.bpe")
+    if bpe is not None and bpe._made:
+        bpe._made.clear()
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            return
+
+
+def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | Iterable[pa.RecordBatch]]], schema: str, text: int | None = None, encodes: bool = False) -> DataFrame:
     """Runs ``make()(batch)`` in each task; batches are small in bytes if ``text`` is a column's number."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not encodes:
+            release()
         f = make()
         for rows in it:
             for part in batches(rows, text) if text is not None else (rows,):
@@ -111,10 +128,6 @@ def tokenizer_json(path: str | None = None) -> str:
         return f.read()
 
 
-def rows_of(df: DataFrame) -> int:
-    return df.count()
-
-
 def parts_for(df: DataFrame, least: int = 1) -> int:
     """Shuffle partitions: the session's number."""
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -51,7 +51,7 @@ def count_bpe(docs: DataFrame, tokenizer_path: str | None = None, name: str = "n
 
         return f
 
-    return common.map_arrow(docs.select("doc_id", "source", "lang", common.text_or_empty(docs).alias("text")), make, f"doc_id long, source string, lang string, {name} long", text=3)
+    return common.map_arrow(docs.select("doc_id", "source", "lang", common.text_or_empty(docs).alias("text")), make, f"doc_id long, source string, lang string, {name} long", text=3, encodes=True)
 
 
 def inserts(rows: DataFrame, tokenizer: str, n: Column) -> DataFrame:

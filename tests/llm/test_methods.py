@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from marlstone.llm import common, near_dedup, quality_hosts, queries, reply_trees, shard_tree, token_files, token_rollup
+from marlstone.llm import common, decontaminate, near_dedup, quality_hosts, queries, reply_trees, shard_tree, token_files, token_rollup
 from test_operators import brute_groups, none, odd, rows  # noqa: F401
 
 SMALL = "/root/testdata/sf0.001"
@@ -166,3 +166,12 @@ def test_shards_by_hand(spark, uneven):
         tree = [x._replace(weight=1.0 + x.shard % 3) for x in tree]
     got = spark.range(300).select("id", shard_tree.shard_of(F.col("id"), tree).alias("s"), shard_tree.shard_of(F.col("id"), shard_tree.grow(tree)).alias("g")).collect()
     assert [(x["s"], x["g"]) for x in got] == [(by_hand(str(k), tree), by_hand(str(k), shard_tree.grow(tree))) for k in range(300)]
+
+
+@pytest.mark.parametrize("most", [100_000, 3])
+def test_contaminated_documents_without_id_go(spark, most):
+    bench = spark.createDataFrame([(1, "a b c d e f g h i"), (2, "x y")], "item_id long, text string")
+    made = [(None, "a b c d e f g h i"), (None, "clean"), (1, "so x y it is"), (1, "clean too"), (2, None), (None, None)]
+    docs = spark.createDataFrame(made, "doc_id long, text string").withColumn("text_hash", F.lit(0)).withColumn("_bad", F.lit(1))
+    out = decontaminate.drop(docs, bench, 1, most)
+    assert out.columns == docs.columns and sorted((str(x[0]), str(x[1])) for x in out.collect()) == [("1", "clean too"), ("2", "None"), ("None", "None"), ("None", "clean")]

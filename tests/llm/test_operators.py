@@ -250,7 +250,7 @@ def brute_marks(texts, items):
 def test_decontaminate(spark, odd, none, block):
     items = [(10, "Seven wizards quietly pack boxes of liquid jade near"), (9, "one"), (11, None), (12, "pack boxes"), (13, "日本語"), (14, "w1 w2"), (14, "w1 w2")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = sorted(tuple(x[c] for c in ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")) for x in rows(decontaminate.mark(odd, bench, block_windows=block)))
+    got = sorted(tuple(x[c] for c in ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")) for x in rows(decontaminate.mark(odd, bench, most_windows=block)))
     assert got == brute_marks([(x["doc_id"], x["text"]) for x in rows(odd)], items)
     assert decontaminate.mark(none, bench).count() == 0 and decontaminate.mark(odd, bench.limit(0)).agg(F.sum("n_hit")).first()[0] == 0
 
