@@ -3,14 +3,16 @@
 Only DataFrame functions. The battery takes every run of 20 or more characters of
 ``[A-Za-z0-9+/_=-]``, infers its encoding from the characters it uses, and tests
 
-* uniformity over the alphabet (chi-squared, by the Wilson-Hilferty transform),
-* runs above and below the alphabet's middle (Wald-Wolfowitz),
+* uniformity over the alphabet (chi-squared),
+* runs of characters of one kind (upper case, lower case, digits, others), and of digits,
 * serial correlation of neighbouring characters.
 
 A run that one of them rejects as random (Bonferroni over the three) is left alone. For the rest,
-``p_natural`` is the chance that natural text of the same length would look as uniform; the gap
-between the two grows with the length. Benjamini-Hochberg over all runs of a length class in the
-corpus sets the largest ``p_natural`` that counts as a find, from a histogram of fixed size.
+``p_natural`` is the chance that natural text of the same encoding and length would look as random:
+the distances of chi-squared and of both numbers of runs from what words joined to identifiers give,
+added up with fixed weights. All three grow with the length. Benjamini-Hochberg over all runs of a
+length class in the corpus sets the largest ``p_natural`` that counts as a find, from a histogram of
+fixed size. Digits alone are numbers and never a find.
 """
 
 from __future__ import annotations
@@ -46,8 +48,16 @@ ENCODINGS = (
 )
 TRIED = sorted(range(len(ENCODINGS) - 1), key=lambda k: len(ENCODINGS[k][1]))
 GROUPED = tuple(k for k, (x, _) in enumerate(ENCODINGS) if "(?:-" in x)
-#: Chance that two letters of natural text are equal, and that one is of a to f.
-NATURAL_MATCH, NATURAL_HEX = 0.066, 0.32
+#: What natural text has, by encoding: the chance that two characters are equal, that a character is of
+#: another kind than the one before, and that one of the two is a digit and the other is not.
+NATURAL = (
+    (0.1, 0.0, 0.0), (0.1, 0.15, 0.15), (0.1, 0.15, 0.15), (0.066, 0.05, 0.04), (0.054, 0.33, 0.04),
+    (0.062, 0.1, 0.06), (0.062, 0.1, 0.06), (0.1, 0.15, 0.15), (0.1, 0.15, 0.15), (0.052, 0.36, 0.05),
+)
+#: Weights of chi-squared, runs of a kind, runs of digits; how many times the variance of independent
+#: characters the last has; mean and spread of the sum, and most that runs of digits may count.
+WEIGHTS, DIGIT_SPREAD, SUM_MEAN, SUM_SPREAD, DIGIT_MOST = (1.0, 0.7, 0.7), 2.0, 0.1, 1.15, 6.0
+KIND_RUN, DIGIT_RUN = "[A-Z]+|[a-z]+|[0-9]+|[^A-Za-z0-9]+", "[0-9]+|[^0-9]+"
 #: Least lengths of the classes in which discoveries are controlled.
 CLASSES = (20, 32, 48, 80)
 #: Bins of -ln(p), each 1 / BIN wide.
@@ -77,6 +87,14 @@ def _phi(z: Column) -> Column:
     return F.when(z < 0, tail).otherwise(1 - tail)
 
 
+def _changes(alphabet: str) -> tuple[float, float]:
+    """Of characters drawn evenly: the chance that neighbours are of different kinds, and the covariance of that with the next."""
+    kinds = [sum(c in own for c in alphabet) / len(alphabet) for own in (_UPPER, _LOWER, _DIGITS)]
+    kinds.append(1 - sum(kinds))
+    chance = 1 - sum(x * x for x in kinds)
+    return chance, sum(x * (1 - x) ** 2 for x in kinds) - chance * chance
+
+
 def battery(token: Column) -> Column:
     """struct<p_random, p_natural> of a run of characters without padding."""
     which = F.lit(len(ENCODINGS) - 1)
@@ -85,38 +103,44 @@ def battery(token: Column) -> Column:
     one = lambda s, f: F.transform(F.array(s), f)[0]  # noqa: E731  names a value, so that it is computed once
 
     def with_encoding(k: Column) -> Column:
-        alphabet = F.element_at(F.array(*[F.lit(a) for _, a in ENCODINGS]), k + 1)
-        grouped = k.isin(*GROUPED)
-        bare = F.when(grouped, F.replace(token, F.lit("-"), F.lit(""))).otherwise(token)
-        tested = one(F.transform(F.split(bare, ""), lambda c: F.position(c, alphabet) - 1), lambda at: _tests(at, F.length(alphabet)))
-        # Natural text that looks like grouped hex has no letters but these.
-        rare = F.when(grouped, F.pow(F.lit(NATURAL_HEX), F.regexp_count(bare, F.lit("[A-Fa-f]")).cast("double"))).otherwise(1.0)
-        return one(tested, lambda x: F.struct(x["p_random"].alias("p_random"), (x["p_natural"] * rare).alias("p_natural")))
+        of = lambda values: F.element_at(F.array(*[F.lit(x) for x in values]), k + 1)
+        alphabet = of([a for _, a in ENCODINGS])
+        bare = F.when(k.isin(*GROUPED), F.replace(token, F.lit("-"), F.lit(""))).otherwise(token)
+        random = [_changes(a) for _, a in ENCODINGS]
+
+        def with_places(at: Column) -> Column:
+            return _tests(at, F.length(alphabet), F.regexp_count(bare, F.lit(KIND_RUN)) - 1, F.regexp_count(bare, F.lit(DIGIT_RUN)) - 1, [of(x) for x in zip(*NATURAL, strict=True)], [of(x) for x in zip(*random, strict=True)])
+
+        tested = one(F.transform(F.split(bare, ""), lambda c: F.position(c, alphabet) - 1), with_places)
+        return F.when(k != 0, tested)
 
     return one(which, with_encoding)
 
 
-def _tests(at: Column, size: Column) -> Column:
-    """at: places of the characters in an alphabet of ``size``."""
+def _tests(at: Column, size: Column, changes: Column, digit_changes: Column, natural: list[Column], random: list[Column]) -> Column:
+    """at: places of the characters in an alphabet of ``size``. natural: see NATURAL; random: see ``_changes``."""
     n, a, df = F.size(at).cast("double"), size.cast("double"), (size - 1).cast("double")
     total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
     seen = F.aggregate(F.array_distinct(at), F.lit(0.0), lambda s, x: s + F.pow(F.size(F.filter(at, lambda y: y == x)).cast("double"), 2.0))
     chi = a / n * seen - n
     z_chi = (F.pow(F.greatest(chi, F.lit(1e-9)) / df, 1 / 3) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
-    high = F.size(F.filter(at, lambda x: x * 2 >= size)).cast("double")
-    low = n - high
-    changes = F.size(F.filter(F.sequence(F.lit(1), F.size(at) - 1), lambda k: (F.get(at, k) * 2 >= size) != (F.get(at, k - 1) * 2 >= size))).cast("double")
-    mu = 2 * high * low / n + 1
-    var = (mu - 1) * (mu - 2) / (n - 1)
-    z_runs = F.when(var > 0, (changes + 1 - mu) / F.sqrt(F.when(var > 0, var).otherwise(1.0))).otherwise(8.0)
+    chance, covariance = random
+    z_runs = (changes - (n - 1) * chance) / F.sqrt((n - 1) * chance * (1 - chance) + 2 * (n - 2) * covariance)
     mean = total(F.transform(at, lambda x: x.cast("double"))) / n
     spread = total(F.transform(at, lambda x: x.cast("double") * x)) - n * mean * mean
-    lag = total(F.transform(F.sequence(F.lit(1), F.size(at) - 1), lambda k: F.get(at, k).cast("double") * F.get(at, k - 1)))
-    z_serial = F.when(spread > 0, (lag - n * mean * mean) / F.when(spread > 0, spread).otherwise(1.0) * F.sqrt(n)).otherwise(8.0)
-    worst = F.least(1 - _phi(z_chi), 2 * _phi(-F.abs(z_runs)), 2 * _phi(-F.abs(z_serial)))
-    gap = n * F.greatest(a * NATURAL_MATCH - 1, F.lit(0.5))
-    p_natural = _phi((chi - df - gap) / F.sqrt(2 * (df + 2 * gap)))
-    return F.struct(F.least(F.lit(1.0), 3 * worst).alias("p_random"), p_natural.alias("p_natural"))
+    # Deviations are multiplied, not the places themselves: the ends count as often as the middle.
+    lag = total(F.transform(F.sequence(F.lit(1), F.size(at) - 1), lambda k: (F.get(at, k).cast("double") - mean) * (F.get(at, k - 1).cast("double") - mean)))
+    z_serial = F.when(spread > 0, lag / F.when(spread > 0, spread).otherwise(1.0) * F.sqrt(n)).otherwise(8.0)
+    worst = F.least(_phi(-z_chi), 2 * _phi(-F.abs(z_runs)), 2 * _phi(-F.abs(z_serial)))
+    same, change, digit_change = natural
+    gap = (n - 1) * (a * same - 1)
+    z = [
+        (df + gap - chi) / F.sqrt(2 * (df + 2 * gap)),
+        (changes - (n - 1) * change) / F.sqrt((n - 1) * change * (1 - change)),
+        F.least(F.lit(DIGIT_MOST), (digit_changes - (n - 1) * digit_change) / F.sqrt((n - 1) * digit_change * (1 - digit_change) * DIGIT_SPREAD)),
+    ]
+    sum_ = (sum(w * x for w, x in zip(WEIGHTS, z, strict=True)) / math.sqrt(sum(w * w for w in WEIGHTS)) - SUM_MEAN) / SUM_SPREAD
+    return F.struct(F.least(F.lit(1.0), 3 * worst).alias("p_random"), _phi(-sum_).alias("p_natural"))
 
 
 def _candidates(runs: Column, spans: Column, alpha: float) -> Column:
