@@ -42,7 +42,7 @@ NOTICES = (
 )
 NOT_WORD = bytes(range(0x30)) + bytes(range(0x3A, 0x61)) + bytes(range(0x7B, 0x80))
 _SPACED = bytes.maketrans(NOT_WORD, b" " * len(NOT_WORD))
-_LETTER = "0-9a-z\\x80-\\xff"
+_LETTER = "0-9a-z\\x80-\\U0010ffff"
 SPANS = "array<struct<label:string,first_word:int,end_word:int,errors:int>>"
 SCHEMA = f"doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans {SPANS}"
 
@@ -79,7 +79,7 @@ class Scanner:
     def scan(self, text: bytes) -> tuple[int, list[tuple[int, int]], list[tuple[int, int, int, int]]]:
         """Words; places of base phrases (notice, first word); verified spans (notice, first word, end word, errors)."""
         own = words(text)
-        line = b" ".join(own).decode("latin-1")  # UTF-8 bytes as characters: places of ASCII pieces hold
+        line = b" ".join(own).decode("utf-8", "replace")  # an edit is a code point; what is no UTF-8 is part of a word
         exact: list[tuple[int, int]] = []
         found: list[tuple[int, int, int, int]] = []
         done = [0] * len(self.notices)
@@ -107,11 +107,31 @@ class Scanner:
         return len(own), [(k, place[p]) for p, k in exact], [(k, whole(a), place[b] + (line[b - 1 : b] != " "), e) for a, b, k, e in sorted(found)]
 
 
+#: Notices that are sent to the tasks, at most.
+MOST_NOTICES = 10_000
+
+
+def notices_of(table: DataFrame) -> tuple[Notice, ...]:
+    """Notices from a table (label, phrase, errors, base), with phrases normalised as texts are; at most MOST_NOTICES.
+
+    Rows without label or words are left out, repeated rows count once; null errors are 0, null base is false.
+    """
+    found = {}
+    for x in table.select("label", "phrase", "errors", "base").limit(MOST_NOTICES + 1).collect():
+        phrase = b" ".join(words((x["phrase"] or "").encode())).decode()
+        if x["label"] and phrase:
+            found[Notice(x["label"], phrase, x["errors"] or 0, bool(x["base"]))] = None
+        if len(found) > MOST_NOTICES:
+            raise ValueError(f"more than {MOST_NOTICES} notices")
+    return tuple(found)
+
+
 def scan(docs: DataFrame, notices: tuple[Notice, ...] = NOTICES) -> DataFrame:
     """One row per document: counts and places of base phrases, labels, score and verified spans.
 
     ``score`` is the best match's share of unchanged characters, 0 without a match. A null or empty
-    text has no words, no labels ('') and null places. Repeated rows and doc_ids give a row each; an
+    text has no words, no labels ('') and null places. ``notices`` are the few well-known ones above
+    unless others are given (see ``notices_of``). Repeated rows and doc_ids give a row each; an
     empty table gives none. Only doc_id and text are read; other columns may have any name.
     """
 
