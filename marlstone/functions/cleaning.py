@@ -121,6 +121,18 @@ FOOTER_LINE = r"(?i:copyright)|(?i:MIT License)|(?i:^\[.+ on (X|GitHub|Discord|T
 TOC_LINE = r"^[\*\-\+]\s+\[.+\]\(#"
 # End of the fixed values.
 
+#: A text without any of these in lower case, and without a line that LINE_ALONE matches, has nothing that a
+#: pattern of UI_ARTIFACT_PATTERNS matches: each needs one of them.
+ARTIFACT_SIGNS = (
+    "[fork](", "[open in", "[try it]", "copy", "copied!", "[previous", "previousnext", "show more", "show less", "expand", "collapse",
+    "[edit ", "[view source]", "was this ", "[yes](", "cookie", "on this page", "table of contents", "skip to", "report an issue",
+    "give feedback", "send feedback", "subscribe", "newsletter", "sign in", "log in", "sign up", "download this manual", "mit license",
+    "supported.", "home", "version:", "select version", "open markdown", "ask docs ai", "open in claude", "`⌘k`", "`ctrl k`",
+    "minute", "](", "[docs]",
+)
+LINE_ALONE = r"^(Send|Back|Terminal|Menu|\s*or|\d{2}|v\d+\.\d+)\s*$"
+#: Letters that a search without case takes for i, k or s, though lower case leaves them as they are.
+FOLDED = "[\u017f\u0131\u0130\u212a]"
 #: Java's flags for which its patterns match as those of Python do: case, lines, Unicode.
 PYTHON = "(?imudU)"
 #: A non-character that marks where a block begins.
@@ -233,13 +245,19 @@ def code_languages(md: Column, mode: str = "compat") -> Column:
 
 
 def ui_artifacts(md: Column) -> Column:
-    """The patterns go one after the other: earlier ones decide what later ones see."""
-    return functools.reduce(lambda c, p: F.regexp_replace(c, PYTHON + p, ""), UI_ARTIFACT_PATTERNS, md)
+    """The patterns go one after the other: earlier ones decide what later ones see. Texts without any sign of them stay."""
+    low = F.lower(md)
+    some = F.rlike(md, F.lit(PYTHON + LINE_ALONE)) | F.rlike(md, F.lit(FOLDED))
+    for x in ARTIFACT_SIGNS:
+        some = some | F.contains(low, F.lit(x))
+    return F.when(some, functools.reduce(lambda c, p: F.regexp_replace(c, PYTHON + p, ""), UI_ARTIFACT_PATTERNS, md)).otherwise(md)
 
 
 def encoding(md: Column, mode: str = "compat") -> Column:
+    """All that is replaced is beyond ASCII."""
     out = functools.reduce(lambda c, x: F.replace(c, F.lit(x[0]), F.lit(x[1])), [*MOJIBAKE_FIXES, *SMART_QUOTE_FIXES], md)
-    return F.regexp_replace(out, "(?U)" + EMOJI_RESIDUE, "") if mode == "compat" else out
+    out = F.regexp_replace(out, "(?U)" + EMOJI_RESIDUE, "") if mode == "compat" else out
+    return F.when(F.rlike(md, F.lit("[^\\x00-\\x7f]")), out).otherwise(md)
 
 
 def footer(md: Column) -> Column:
@@ -288,6 +306,8 @@ def whitespace(md: Column) -> Column:
     return strip(_join(F.transform(_lines(F.regexp_replace(md, r"\n{4,}", "\n\n\n")), rstrip)))
 
 
+#: What a text must hold for a step to change it.
+NEEDS = {nav_header: "# ", duplicate_headings: "#", permalinks: "#", toc_after_title: "# ", code_languages: "```", empty_fences: "```"}
 STEPS = (nav_header, duplicate_headings, permalinks, toc_after_title, code_languages, ui_artifacts, encoding, footer, empty_fences, repeated_blocks_in_page, whitespace)
 
 
@@ -299,6 +319,8 @@ def clean(md: Column, mode: str = "compat") -> Column:
             return value
         step = rest[0]
         now = step(value, mode) if step in (code_languages, encoding) else step(value)
+        if step in NEEDS:
+            now = F.when(F.contains(value, F.lit(NEEDS[step])), now).otherwise(value)
         return _named(now, lambda x: then(rest[1:], x))
 
     return _named(md, lambda x: then(STEPS, x))

@@ -8,6 +8,7 @@ descendant, child, comma), and a converter with ATX headings and fenced code.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -19,7 +20,7 @@ from pyspark.sql import types as T
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 # What is pruned or selected where nothing else is said.
 CONTENT_SELECTORS = ("main", "article", ".content", "#content", ".documentation")
-CONTENT_FALLBACK = "main, article, .content, #content, body"
+CONTENT_FALLBACKS = ("main", "article", ".content", "#content", "body")
 PRUNE_SELECTORS = ("nav", "header", "footer", ".cookie-banner", ".newsletter", ".feedback", ".edit-page", ".breadcrumb", ".toc")
 GENERIC_PRUNE = ("script", "style", "noscript", "iframe", "aside", "button[aria-label*='copy']", "button[aria-label*='Copy']", ".copy-button", ".clipboard-button")
 BOILERPLATE = ("script", "style", "noscript", "iframe", "svg", "nav", "header", "footer", ".cookie-banner", ".newsletter")
@@ -42,19 +43,6 @@ class Node:
             yield x
             stack += [y for y in reversed(x.children) if isinstance(y, Node)]
 
-    def drop(self) -> None:
-        if self.parent:
-            self.parent.children = [x for x in self.parent.children if x is not self]
-            self.parent = None
-
-    def unwrap(self, before: str = "", after: str = "") -> None:
-        at = next(k for k, x in enumerate(self.parent.children) if x is self)
-        inner = [*([before] if before else []), *self.children, *([after] if after else [])]
-        for x in inner:
-            if isinstance(x, Node):
-                x.parent = self.parent
-        self.parent.children[at : at + 1] = inner
-
     def text(self) -> str:
         out, stack = [], [self]
         while stack:
@@ -74,22 +62,26 @@ class _Builder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.now = Node("")
+        self.open: Counter = Counter()
 
     def handle_starttag(self, tag, attrs):
         node = Node(tag, {k: v or "" for k, v in attrs}, [], self.now)
         self.now.children.append(node)
         if tag not in VOID:
             self.now = node
+            self.open[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.now.children.append(Node(tag, {k: v or "" for k, v in attrs}, [], self.now))
 
     def handle_endtag(self, tag):
-        x = self.now
-        while x is not None and x.tag != tag:
-            x = x.parent
-        if x is not None and x.parent is not None:
-            self.now = x.parent
+        if not self.open[tag]:
+            return
+        while self.now.tag != tag:
+            self.open[self.now.tag] -= 1
+            self.now = self.now.parent
+        self.open[tag] -= 1
+        self.now = self.now.parent
 
     def handle_data(self, data):
         self.now.children.append(data)
@@ -160,56 +152,116 @@ def select(root: Node, selector: str) -> list[Node]:
     return [x for x in root.walk() if test(x)]
 
 
+def _drop(found: list[Node]) -> None:
+    gone = {id(x) for x in found}
+    for parent in {id(x.parent): x.parent for x in found if x.parent}.values():
+        parent.children = [x for x in parent.children if id(x) not in gone]
+
+
 def prune(root: Node, selectors) -> None:
     for s in selectors:
-        for x in select(root, s):
-            x.drop()
+        _drop(select(root, s))
 
 
 def prune_sidebars(root: Node) -> None:
+    found = []
     for x in [y for y in root.children if isinstance(y, Node)]:
         cls, style = " ".join(x.classes), x.attrs.get("style", "")
         fixed = any(k in cls for k in ("fixed", "sticky")) or any(f"position: {k}" in style for k in ("fixed", "sticky"))
         if (fixed or any(k in cls.lower() for k in NAV_CLASSES)) and sum(y.tag == "a" for y in x.walk()) >= SIDEBAR_LINKS:
-            x.drop()
+            found.append(x)
+    _drop(found)
 
 
 def flatten_code(root: Node) -> None:
-    """Lines of code blocks: span.line, else br and block elements; styling spans go."""
+    """Lines of code blocks: span.line, else br and block elements; an element without tag is its children."""
     for pre in [x for x in root.walk() if x.tag == "pre"]:
-        if rows := [x for x in pre.walk() if x.tag == "span" and "line" in x.classes]:
-            for x in rows:
-                x.unwrap(after="\n")
-        else:
-            for x in [y for y in pre.walk() if y.tag == "br"]:
-                x.children = []
-                x.unwrap(after="\n")
-            for tag in ("div", "p", "li"):
-                for x in [y for y in pre.walk() if y.tag == tag]:
-                    x.unwrap(before="\n")
-        for x in [y for y in pre.walk() if y.tag == "span"]:
-            x.unwrap()
+        inside = list(pre.walk())
+        if lines := [x for x in inside if x.tag == "span" and "line" in x.classes]:
+            for x in lines:
+                x.tag, x.children = "", [*x.children, "\n"]
+            continue
+        for x in inside:
+            if x.tag == "br":
+                x.tag, x.children = "", ["\n"]
+            elif x.tag in ("div", "p", "li"):
+                x.tag, x.children = "", ["\n", *x.children]
+
+
+@dataclass
+class _Open:
+    """An element being rendered: groups of children, what they gave, and where it is among them."""
+
+    node: Node
+    depth: int
+    groups: list[list[Node | str]]
+    rows: list[int]
+    out: list[list[str]] = field(default_factory=list)
+    child: int = 0
+
+
+def _opened(node: Node, depth: int) -> _Open:
+    """Lists are rendered item by item, tables cell by cell (``rows``: cells in each), other elements whole."""
+    if node.tag in ("pre", "code", "img", "br", "hr", "script", "style", "head"):
+        return _Open(node, depth, [], [])
+    if node.tag in ("ul", "ol"):
+        return _Open(node, depth + 1, [x.children for x in node.children if isinstance(x, Node) and x.tag == "li"], [])
+    if node.tag == "table":
+        rows, stack = [], [x for x in reversed(node.children) if isinstance(x, Node)]
+        while stack:  # rows of a table within a cell are that table's
+            x = stack.pop()
+            if x.tag == "tr":
+                rows.append([y.children for y in x.children if isinstance(y, Node) and y.tag in ("td", "th")])
+            elif x.tag != "table":
+                stack += [y for y in reversed(x.children) if isinstance(y, Node)]
+        return _Open(node, depth, [c for r in rows for c in r], [len(r) for r in rows if r])
+    return _Open(node, depth, [node.children], [])
 
 
-def to_markdown(node: Node | str, language: bool = True, depth: int = 0) -> str:
+def to_markdown(node: Node | str, language: bool = True) -> str:
+    """Renders with a stack of its own: elements may be open to any depth."""
     if isinstance(node, str):
         return re.sub(r"\s+", " ", node)
+    stack = [_opened(node, 0)]
+    while True:
+        top = stack[-1]
+        if len(top.out) < len(top.groups) or (top.out and top.child < len(top.groups[len(top.out) - 1])):
+            if not top.out or top.child >= len(top.groups[len(top.out) - 1]):
+                top.out.append([])
+                top.child = 0
+                continue
+            x = top.groups[len(top.out) - 1][top.child]
+            top.child += 1
+            if isinstance(x, str):
+                top.out[-1].append(re.sub(r"\s+", " ", x))
+            else:
+                stack.append(_opened(x, top.depth))
+            continue
+        stack.pop()
+        said = _closed(top, language)
+        if not stack:
+            return said
+        stack[-1].out[-1].append(said)
+
+
+def _closed(done: _Open, language: bool) -> str:
+    node, parts = done.node, ["".join(x) for x in done.out]
     if node.tag == "pre":
         code = next((x for x in node.walk() if x.tag == "code"), None)
         own = next((x for x in (node.classes or (code.classes if code else []))), "") if language else ""
         return f"\n\n```{own.replace('language-', '')}\n{node.text().strip(chr(10))}\n```\n\n"
     if node.tag in ("ul", "ol"):
-        items = [x for x in node.children if isinstance(x, Node) and x.tag == "li"]
+        depth = done.depth - 1
         mark = lambda k: f"{k + 1}." if node.tag == "ol" else "*"
-        rows = [f"{'  ' * depth}{mark(k)} {''.join(to_markdown(y, language, depth + 1) for y in x.children).strip()}" for k, x in enumerate(items)]
+        rows = [f"{'  ' * depth}{mark(k)} {x.strip()}" for k, x in enumerate(parts)]
         return ("\n" if depth else "\n\n") + "\n".join(rows) + ("" if depth else "\n\n")
     if node.tag == "table":
-        rows = [[re.sub(r"\s+", " ", "".join(to_markdown(c, language) for c in y.children)).strip() for y in x.children if isinstance(y, Node) and y.tag in ("td", "th")] for x in node.walk() if x.tag == "tr"]
-        rows = [x for x in rows if x]
+        cells = iter([re.sub(r"\s+", " ", x).strip() for x in parts])
+        rows = [[next(cells) for _ in range(n)] for n in done.rows]
         if not rows:
             return ""
         return "\n\n" + "\n".join(["| " + " | ".join(x) + " |" for x in [rows[0], ["---"] * len(rows[0]), *rows[1:]]]) + "\n\n"
-    inner = "".join(to_markdown(x, language, depth) for x in node.children)
+    inner = parts[0] if parts else ""
     said = inner.strip()
     if re.fullmatch("h[1-6]", node.tag):
         return f"\n\n{'#' * int(node.tag[1])} {re.sub(r'\s+', ' ', said)}\n\n" if said else ""
@@ -232,8 +284,10 @@ def to_markdown(node: Node | str, language: bool = True, depth: int = 0) -> str:
             return f"![{node.attrs.get('alt', '')}]({node.attrs.get('src', '')})"
         case "blockquote":
             return "\n\n" + "\n".join(f"> {x}" for x in said.split("\n")) + "\n\n"
-        case "script" | "style" | "head" | "title":
-            return "" if node.tag != "title" else said
+        case "script" | "style" | "head":
+            return ""
+        case "title":
+            return said
     return inner
 
 
@@ -246,7 +300,14 @@ def title_of(root: Node, fallback: str = "") -> str:
 
 
 def _strings(node: Node) -> list[str]:
-    return [x for y in node.children for x in ([y] if isinstance(y, str) else _strings(y))]
+    out, stack = [], list(reversed(node.children))
+    while stack:
+        x = stack.pop()
+        if isinstance(x, str):
+            out.append(x)
+        else:
+            stack += reversed(x.children)
+    return out
 
 
 def detect_selector(html: str) -> str:
@@ -261,15 +322,17 @@ def convert(html: str, selector: str = "main", prunes=PRUNE_SELECTORS, fallback_
     root = parse(html or "")
     title = title_of(root, fallback_title)
     links = [x.attrs["href"] for x in root.walk() if x.tag == "a" and "href" in x.attrs]
-    found = select(root, selector) or select(root, CONTENT_FALLBACK)
+    chosen = next((s for s in CONTENT_SELECTORS if select(root, s)), "body") if html else "main"
+    # One after the other: the first that is there at all, wherever it stands.
+    found = next((x for s in (selector, *CONTENT_FALLBACKS) if (x := select(root, s))), None)
     if not found:
-        return title, "", links, detect_selector(html or "")
+        return title, "", links, chosen
     body = found[0]
     prune(body, prunes)
     prune(body, GENERIC_PRUNE)
     prune_sidebars(body)
     flatten_code(body)
-    return title, re.sub(r"\n{3,}", "\n\n", to_markdown(body)).strip(), links, detect_selector(html or "")
+    return title, re.sub(r"\n{3,}", "\n\n", to_markdown(body)).strip(), links, chosen
 
 
 def preview(html: str) -> str:
@@ -283,26 +346,66 @@ def sanitize(html: str, most: int = 15000) -> str:
     root = parse(html or "")
     prune(root, UNSAFE)
 
-    def show(x: Node | str) -> str:
+    out: list[str] = []
+    stack: list[Node | str] = [root]
+    while stack:
+        x = stack.pop()
         if isinstance(x, str):
-            return x
-        inner = "".join(map(show, x.children))
-        head = x.tag + "".join(f' {k}="{v}"' for k, v in x.attrs.items())
-        return inner if not x.tag else f"<{head}>" if x.tag in VOID else f"<{head}>{inner}</{x.tag}>"
+            out.append(x)
+            continue
+        if x.tag:
+            out.append(f"<{x.tag}{''.join(f' {k}="{v}"' for k, v in x.attrs.items())}>")
+        if x.tag in VOID:
+            continue
+        stack += [*([f"</{x.tag}>"] if x.tag else []), *reversed(x.children)]
+    return "".join(out)[:most].replace('"""', "'''")
+
 
-    return show(root)[:most].replace('"""', "'''")
+PAGE = "title string, markdown string, links array<string>, selector string, error string"
 
 
 def page(selector: str = "main", prunes: tuple[str, ...] = PRUNE_SELECTORS):
-    """A pandas UDF: html to struct<title, markdown, links, selector>. Filters on other columns stay below it."""
+    """A pandas UDF: html to the struct PAGE. Filters on other columns stay below it.
+
+    A page that cannot be converted has null Markdown and says why in ``error``; the job goes on.
+    """
+
+    def one(html: str | None) -> tuple:
+        try:
+            return (*convert(html or "", selector, prunes), None)
+        except Exception as e:  # noqa: BLE001
+            return None, None, [], "main", f"{type(e).__name__}: {e}"[:200]
 
-    @F.pandas_udf("title string, markdown string, links array<string>, selector string")
+    @F.pandas_udf(PAGE)
     def run(html: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([convert(x or "", selector, prunes) for x in html], columns=["title", "markdown", "links", "selector"])
+        return pd.DataFrame([one(x) for x in html], columns=[x.split()[0] for x in PAGE.split(", ")])
 
     return run
 
 
+class _Links(HTMLParser):
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.found: list[str] = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "a" and (href := dict(attrs).get("href")) is not None:
+            self.found.append(href)
+
+
+def links_of(html: str | None) -> list[str]:
+    """Targets of all ``a`` elements, entities decoded; without a tree."""
+    p = _Links()
+    p.feed(html or "")
+    p.close()
+    return p.found
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def links(html: pd.Series) -> pd.Series:
+    return html.map(links_of)
+
+
 @F.pandas_udf(T.StringType())
 def preview_udf(html: pd.Series) -> pd.Series:
     return html.map(preview)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from urllib.parse import urljoin
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -37,10 +35,38 @@ def _no_tail(p: Column) -> Column:
     return F.rtrim(p, F.lit("/"))
 
 
-def canonical(url: Column) -> Column:
-    """Without query, fragment, parameters and trailing slashes; null for an empty URL."""
-    p = _no_tail(path(url))
-    return F.when(F.length(url) > 0, F.concat(base(url), F.when(p == "", "/").otherwise(p)))
+def _plain_path(p: Column) -> Column:
+    """Without ``.`` and ``..`` segments (RFC 3986, 5.2.4); ``p`` starts with a slash."""
+    none = F.array().cast("array<string>")
+    parts = F.split(F.regexp_extract(p, "^/(.*)", 1), "/", -1)
+    last = F.element_at(parts, -1)
+    up = lambda acc: F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))
+    kept = F.aggregate(parts, none, lambda acc, x: F.when(x == ".", acc).when(x == "..", up(acc)).otherwise(F.concat(acc, F.array(x))))
+    return F.when(~F.rlike(p, F.lit(r"/\.\.?(/|$)")), p).otherwise(F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(last.isin(".", "..") & (F.size(kept) > 0), "/").otherwise("")))
+
+
+def absolute(href: Column, page: Column) -> Column:
+    """``href`` resolved against the URL of its page, by SQL functions alone."""
+    p, tail = F.regexp_extract(href, "^([^?#]*)", 1), F.regexp_extract(href, "^[^?#]*(.*)", 1)
+    own = path(page)
+    below = F.concat(F.when(own == "", "/").otherwise(F.regexp_extract(own, "^(.*/)", 1)), p)
+    return (
+        F.when(F.rlike(href, F.lit(r"^[A-Za-z][A-Za-z0-9+.\-]*:")), href)
+        .when(F.startswith(href, F.lit("//")), F.concat(scheme(page), F.lit(":"), href))
+        .when(p == "", F.concat(base(page), F.regexp_extract(page, "^[^:/?#]+://[^/?#]*([^?#]*)", 1), tail))
+        .when(F.startswith(href, F.lit("/")), F.concat(base(page), _plain_path(p), tail))
+        .otherwise(F.concat(base(page), _plain_path(below), tail))
+    )
+
+
+def canonical(url: Column, page: Column | None = None) -> Column:
+    """Without query, fragment, parameters and trailing slashes; null for an empty URL.
+
+    A URL without scheme is resolved against ``page``; without one it is null.
+    """
+    whole = url if page is None else absolute(url, page)
+    p = _no_tail(path(whole))
+    return F.when((F.length(url) > 0) & (scheme(whole) != ""), F.concat(base(whole), F.when(p == "", "/").otherwise(p)))
 
 
 def navigable(url: Column) -> Column:
@@ -85,25 +111,14 @@ def valid_name(name: Column) -> Column:
     return F.rlike(name, F.lit("^[A-Za-z0-9_-]+$"))
 
 
-def links(html: Column) -> Column:
-    """Targets of ``<a href="...">`` in pages of regular markup; the parser handles the rest."""
-    return F.regexp_extract_all(html, F.lit('<a href="([^"]*)"'), F.lit(1))
-
-
-def internal_links(html: Column, url: Column) -> Column:
-    """Absolute same-host targets; root-relative and absolute links are resolved natively."""
-    own = F.transform(links(html), lambda x: F.trim(F.regexp_extract(x, "^([^#]*)", 1)))
-    own = F.filter(own, lambda x: (x != "") & ~F.rlike(x, F.lit("^(javascript|mailto|tel):")))
-    full = F.transform(own, lambda x: F.when(F.startswith(x, F.lit("/")) & ~F.startswith(x, F.lit("//")), F.concat(base(url), x)).otherwise(x))
+def internal_links(links: Column, url: Column) -> Column:
+    """Same-host targets, resolved against the page, without fragment, query and parameters; all of them, in order."""
+    own = F.transform(links, lambda x: F.trim(F.regexp_extract(x, "^([^#]*)", 1)))
+    own = F.filter(own, lambda x: (x != "") & ~F.rlike(x, F.lit(f"^({'|'.join(NO_PAGE)})")))
+    full = F.transform(own, lambda x: absolute(x, url))
     return F.transform(F.filter(full, lambda x: host(x) == host(url)), lambda x: F.concat(base(x), path(x)))
 
 
-@F.pandas_udf(T.StringType())
-def resolve(base_url: pd.Series, href: pd.Series) -> pd.Series:
-    """RFC 3986 resolution by the standard library, for links that are neither absolute nor root-relative."""
-    return pd.Series([None if b is None or h is None else urljoin(b, h) for b, h in zip(base_url, href, strict=True)], dtype=object)
-
-
 @F.pandas_udf(T.StringType())
 def sitemap_title(p: pd.Series) -> pd.Series:
     """Path to title: slashes to `` > ``, hyphens to spaces, title case after every non-letter."""

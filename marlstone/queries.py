@@ -69,7 +69,7 @@ def frontier_first_wins(spark, d):
 f AS (SELECT page_id, url, CASE WHEN h LIKE '/%' AND h NOT LIKE '//%' THEN {_BASE} || h ELSE h END AS x FROM l WHERE h <> '' AND NOT regexp_matches(h, '^(javascript|mailto|tel):'))
 SELECT page_id, count(*) AS n_internal, count(DISTINCT regexp_extract(x, {_S}, 3)) AS n_paths FROM f WHERE regexp_extract(x, {_S}, 2) = {_HOST} GROUP BY page_id""")
 def internal_links(spark, d):
-    p = _t(spark, d, "pages").select("page_id", F.explode(urls.internal_links(F.col("html"), F.col("url"))).alias("l"))
+    p = _t(spark, d, "pages").select("page_id", F.explode(urls.internal_links(html.links("html"), F.col("url"))).alias("l"))
     return p.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_internal"), F.countDistinct(urls.path(F.col("l"))).alias("n_paths"))
 
 
@@ -233,8 +233,10 @@ _ENGINE = "variant string, a_length long, b_length long, a_headings long, b_head
 
 
 @query(f"""WITH e AS (SELECT *, abs(b_length - a_length) / greatest(b_length, a_length, 1) AS diff_ratio FROM (VALUES {', '.join(map(str, ENGINE))}) AS t({', '.join(x.split()[0] for x in _ENGINE.split(', '))})),
-w AS (SELECT variant, diff_ratio, array_to_string(list_filter([CASE WHEN diff_ratio > 0.3 AND b_length > a_length THEN 'longer' END, CASE WHEN b_headings > a_headings + 3 THEN 'headings' END, CASE WHEN b_code > a_code + 2 THEN 'code' END, CASE WHEN a_links < 5 AND b_links > 10 THEN 'links' END], lambda x: x IS NOT NULL), '; ') AS reason FROM e)
-SELECT variant, CASE WHEN reason <> '' THEN 'selenium' ELSE 'curl' END AS mode, diff_ratio, reason FROM w""")
+w AS (SELECT variant, diff_ratio, array_to_string(list_filter([
+  CASE WHEN diff_ratio > 0.3 AND b_length > a_length THEN printf('content length diff %.1f%% > 30%%', diff_ratio * 100) END, CASE WHEN b_headings > a_headings + 3 THEN printf('Selenium has %d more headings', b_headings - a_headings) END,
+  CASE WHEN b_code > a_code + 2 THEN printf('Selenium has %d more code blocks', b_code - a_code) END, CASE WHEN a_links < 5 AND b_links > 10 THEN printf('SPA detected: cURL %d links vs Selenium %d links', a_links, b_links) END], lambda x: x IS NOT NULL), '; ') AS reason FROM e)
+SELECT variant, CASE WHEN reason <> '' THEN 'selenium' ELSE 'curl' END AS mode, diff_ratio, coalesce(nullif(reason, ''), 'cURL content sufficient') AS reason FROM w""")
 def engine_choice(spark, d):
     return site.engine_choice(spark.createDataFrame(ENGINE, _ENGINE))
 
@@ -279,18 +281,118 @@ def sitemap_titles(spark, d):
 
 @query()
 def bfs_frontier(spark, d):
+    """The crawl over fetched pages from the first URL; its cap is a feature."""
     p = _t(spark, d, "pages").select("url", "html")
     start = p.agg(F.min("url")).first()[0]
     return site.crawl(p, start)
 
 
+def _page(*links):
+    return "<html><body>" + "".join(links) + "</body></html>"
+
+
+SITE = [
+    ("https://a.org/docs/", _page("<a href='guide/x'>", '<A HREF="../up">', "<a class=c href=/z?q=1>", '<a href="//a.org/host#f">', '<a href="https://b.org/docs/">', '<a href="mailto:x@a.org">')),
+    ("https://a.org/docs/guide/x", _page('<a href="./y">', '<a href="../../docs/guide/deep/">', '<a href="pic.PNG">')),
+    ("https://a.org/up", _page('<a href="docs/guide/x">')), ("https://a.org/z", _page('<a href="?p=2">')), ("https://a.org/host", _page()),
+    ("https://a.org/docs/guide/y", _page('<a href="z">')), ("https://a.org/docs/guide/deep/", _page()), ("https://a.org/docs/guide/z", _page('<a href="/docs/">')),
+    ("https://a.org/lost", _page('<a href="/docs/">')), ("https://b.org/docs/", _page()),
+]
+
+
+@query("""SELECT * FROM (VALUES ('https://a.org/docs', 0), ('https://a.org/docs/guide/x', 1), ('https://a.org/host', 1), ('https://a.org/up', 1), ('https://a.org/z', 1),
+('https://a.org/docs/guide/deep', 2), ('https://a.org/docs/guide/y', 2), ('https://a.org/docs/guide/z', 3)) AS t(c, depth)""")
+def crawl_depths(spark, d):
+    """A site whose links are written in all ways, with known distances."""
+    return site.crawl(spark.createDataFrame(SITE, "url string, html string"), "https://a.org/docs/", most=50)
+
+
+RESOLVED = [("g", "b/c/g"), ("./g", "b/c/g"), ("g/", "b/c/g/"), ("/g", "g"), ("?y", "b/c/d;p?y"), ("g?y", "b/c/g?y"), ("#s", "b/c/d;p#s"), ("g#s", "b/c/g#s"), (";x", "b/c/;x"), (".", "b/c/"), ("./", "b/c/"), ("..", "b/"), ("../", "b/"), ("../g", "b/g"), ("../..", ""), ("../../g", "g"), ("../../../g", "g"), ("/./g", "g"), ("/../g", "g"), ("g.", "b/c/g."), ("..g", "b/c/..g"), ("./g/.", "b/c/g/"), ("g/./h", "b/c/g/h"), ("g/../h", "b/c/h"), ("g?y/../x", "b/c/g?y/../x")]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{h}', 'http://a/{w}')" for h, w in RESOLVED) + ") AS t(href, url)")
+def resolve_links(spark, d):
+    """The resolution examples of RFC 3986, 5.4."""
+    return spark.createDataFrame([(h,) for h, _ in RESOLVED], "href string").select("href", urls.absolute(F.col("href"), F.lit("http://a/b/c/d;p")).alias("url"))
+
+
+@query(r"""SELECT page_id, substr(trim(replace(replace(replace(regexp_extract(html, '(?s)<h1[^>]*>([^<]*)</h1>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')), 1, 200) AS title,
+  CASE WHEN contains(html, '<main') THEN 'main' WHEN contains(html, '<article') THEN 'article' ELSE 'body' END AS selector,
+  regexp_extract(html, '<div class="ad">([^<]{20})', 1) <> '' AND contains(regexp_extract(html, '(?s)<article.*', 0), regexp_extract(html, '<div class="ad">([^<]{20})', 1)) AS has_ad,
+  (len(regexp_extract_all(html, '<a href="')))::BIGINT AS n_links FROM pages""")
+def page_content(spark, d):
+    """What is taken from each page: title, where its content is, and nothing of an ad that stands before it."""
+    p = _t(spark, d, "pages").select("page_id", "html", html.page()("html").alias("p"))
+    ad = F.regexp_extract("html", '<div class="ad">([^<]{20})', 1)
+    return p.select("page_id", F.col("p.title").alias("title"), F.col("p.selector").alias("selector"), (F.contains("p.markdown", ad) & (ad != "")).alias("has_ad"), F.size("p.links").cast("long").alias("n_links"))
+
+
+TAGS = ["language-js", "Python", "SH", "language-json", "shiki", "language-c++", "highlight-python", "js", "", "language-undefined", "rs", "index-module__DOXIJG__content"]
+_TAG = f"[{', '.join(repr(x) for x in TAGS)}][doc_id % {len(TAGS)} + 1]"
+
+
+def _sql_languages() -> str:
+    out = f"'```' || {_TAG} || chr(10) || replace(text, '`', '')"
+    for a, b in cleaning.CSS_CLASS_TO_LANGUAGE.items():
+        out = f"replace({out}, '```{a}', '```{b}')"
+    for a in cleaning.BAD_LANGUAGES:
+        out = f"replace({out}, '```{a}', '```')"
+    return out
+
+
+_ALIAS = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in cleaning.ALIASES.items())
+
+
+@query(rf"""WITH m AS (SELECT doc_id, {_sql_languages()} AS md FROM documents), t AS (SELECT doc_id, lower(regexp_extract(md, '^```(\w*)', 1)) AS tag, regexp_replace(md, '^```\w*', '') AS rest FROM m)
+SELECT doc_id, '```' || CASE tag {_ALIAS} ELSE tag END || rest AS md FROM t""")
+def code_languages(spark, d):
+    """Every text in a fence of one of the tags."""
+    tag = F.element_at(F.array(*[F.lit(x) for x in TAGS]), (F.col("doc_id") % len(TAGS) + 1).cast("int"))
+    md = F.concat(F.lit("```"), tag, F.lit("\n"), F.replace("text", F.lit("`"), F.lit("")))
+    return _t(spark, d, "documents").select("doc_id", cleaning.code_languages(md).alias("md"))
+
+
+_HEADED = "concat('# ', source, chr(10), replace(text, '#', ''), chr(10), '## ', lang, chr(10), '#  ', upper(source), chr(10), '## ', source, chr(10), '## ', lang, chr(10), '##', chr(10), '##')"
+
+
+@query(rf"""WITH l AS (SELECT doc_id, unnest(string_split(md, chr(10))) AS x, generate_subscripts(string_split(md, chr(10)), 1) AS k FROM (SELECT doc_id, {_HEADED} AS md FROM documents)),
+h AS (SELECT *, CASE WHEN trim(x) LIKE '#%' AND trim(regexp_replace(trim(x), '^#+', '')) <> '' THEN regexp_extract(trim(x), '^(#+)', 1) || ':' || lower(trim(regexp_replace(trim(x), '^#+', ''))) END AS key FROM l),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, key ORDER BY k) AS r FROM h)
+SELECT doc_id, string_agg(x, chr(10) ORDER BY k) AS md FROM n WHERE key IS NULL OR r = 1 GROUP BY doc_id""")
+def duplicate_headings(spark, d):
+    """Every text with headings before and after it that come again."""
+    return _t(spark, d, "documents").select("doc_id", cleaning.duplicate_headings(F.expr(_HEADED.replace("chr(10)", "char(10)"))).alias("md"))
+
+
+_ANCHORED = "concat('# ', source, '¶', chr(10), '## [', lang, '](#', lang, ')', chr(10), replace(replace(text, '#', ''), '¶', ''), chr(10), '### ', source, ' []( #x)', chr(10), '##', chr(10), 'see [', lang, '](#', lang, ')')"
+
+
+@query("SELECT doc_id, concat('# ', source, chr(10), '## ', lang, chr(10), replace(replace(text, '#', ''), '¶', ''), chr(10), '### ', source, chr(10), 'see [', lang, '](#', lang, ')') AS md FROM documents")
+def permalinks(spark, d):
+    """Every text with headings that carry anchors."""
+    return _t(spark, d, "documents").select("doc_id", cleaning.permalinks(F.expr(_ANCHORED.replace("chr(10)", "char(10)"))).alias("md"))
+
+
+@query("SELECT DISTINCT url FROM pages ORDER BY url LIMIT 10")
+def example_urls(spark, d):
+    """The first ten URLs, which is the feature."""
+    return site.examples(_t(spark, d, "pages"))
+
+
+@query(f"""SELECT url, {_PATH} AS path, CASE WHEN regexp_matches({_PATH}, '(?i)/7') THEN 'excluded by ''/7''' ELSE 'no include match' END AS reason
+FROM pages WHERE regexp_matches({_PATH}, '(?i)(?:^|/)7(?:/|$)') OR NOT regexp_matches({_PATH}, '(?i)(?:^|/)en(?:/|$)') ORDER BY url LIMIT 20""")
+def reject_reasons(spark, d):
+    """The first twenty rejected URLs with their reasons, which is the feature."""
+    return site.reject_reasons(_t(spark, d, "pages").select("url"), site.Scope("", ["/en/"], ["/7"]))
+
+
 _NS = "http://www.sitemaps.org/schemas/sitemap/0.9"
-MAPS = [("https://a.org/s.xml", f'<sitemapindex xmlns="{_NS}"><sitemap><loc>https://a.org/1.xml</loc></sitemap><sitemap><loc>https://a.org/2.xml</loc></sitemap></sitemapindex>'), ("https://a.org/1.xml", f'<urlset xmlns="{_NS}"><url><loc>https://a.org/x</loc></url><url><loc>https://a.org/y</loc></url></urlset>'), ("https://a.org/2.xml", f'<urlset xmlns="{_NS}"><url><loc> https://a.org/z </loc></url></urlset>'), ("https://a.org/3.xml", "<urlset><url><loc>https://a.org/no</loc></url></urlset>")]
+MAPS = [("https://a.org/s.xml", f'<sitemapindex xmlns="{_NS}"><sitemap><loc>https://a.org/1.xml</loc></sitemap><sitemap><loc>https://a.org/2.xml</loc></sitemap></sitemapindex>'), ("https://a.org/1.xml", f'<urlset xmlns="{_NS}"><url><loc>https://a.org/x</loc></url><url><loc>https://a.org/y</loc></url></urlset>'), ("https://a.org/2.xml", f'<urlset xmlns="{_NS}"><url><loc> https://a.org/z </loc></url></urlset>'), ("https://a.org/3.xml", "<urlset><url><loc>https://a.org/no</loc></url></urlset>"), ("https://a.org/4.xml", f'<urlset xmlns="{_NS}"><url><loc>https://a.org/cut')]
 
 
 @query("SELECT * FROM (VALUES ('https://a.org/s.xml', 0, 'https://a.org/x'), ('https://a.org/s.xml', 1, 'https://a.org/y'), ('https://a.org/s.xml', 2, 'https://a.org/z')) AS t(location, pos, url)")
 def sitemap_parse(spark, d):
-    return web.sitemap_urls(spark.createDataFrame(MAPS, "location string, xml string"), spark.createDataFrame([("https://a.org/s.xml",), ("https://a.org/3.xml",)], "location string"))
+    return web.sitemap_urls(spark.createDataFrame(MAPS, "location string, xml string"), spark.createDataFrame([("https://a.org/s.xml",), ("https://a.org/3.xml",), ("https://a.org/4.xml",)], "location string"))
 
 
 LEDGER = [("a", "success", 10), ("b", "failed", 0), ("c", "success", 5)]
