@@ -33,7 +33,7 @@ _LONGEST_KEPT = 80
 class Encoder:
     """Encodes batches of texts; the ids come as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, tokenizer_json: str, most_kept: int = 600_000):
+    def __init__(self, tokenizer_json: str, most_kept: int = 350_000):
         self._library = Tokenizer.from_str(tokenizer_json)
         self._library.no_padding()
         self._library.no_truncation()
@@ -52,6 +52,7 @@ class Encoder:
         self._added = [x.content for x in self._library.get_added_tokens_decoder().values()]
         self._most = most_kept
         self._kept: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
         self._chunks: dict[str, bytes] = {}
 
     def _plain(self, texts: list[str]) -> list[bytes]:
@@ -89,8 +90,8 @@ class Encoder:
                 gc.enable()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        if len(self._kept) > self._most:
-            self._kept.clear()
+        if len(self._kept) > self._most:  # what comes again moves on, the rest goes with the next change
+            self._old, self._kept = self._kept, {}
         if len(self._chunks) > self._most // 4:
             self._chunks.clear()
         cut: list[tuple[dict[str, bytes], list[str]]] = []
@@ -104,6 +105,10 @@ class Encoder:
             else:
                 cut.append((self._chunks, _CHUNK.findall(x)))
         words = list(set(chain.from_iterable(p for kept, p in cut if kept is self._kept)).difference(self._kept))
+        if self._old:
+            known = self._old.keys() & words
+            self._kept.update(zip(known, map(self._old.__getitem__, known), strict=True))
+            words = [x for x in words if x not in known]
         by: tuple[list[str], list[str], list[str]] = ([], [], [])
         for x in words:
             by[2 if "\n" in x else x[0] == " " and " " not in x[1:]].append(x)
