@@ -60,6 +60,17 @@ def test_encoder_equals_library(library):
     assert e.encode(texts) == [u32(library(x)) for x in texts]
 
 
+def test_encoder_cuts_latin_texts_and_forgets(library):
+    """Apostrophes, blanks and texts' ends in all orders, batch after batch with little memory."""
+    e = Encoder(common.tokenizer_json(), most_kept=500)
+    rng = np.random.default_rng(2)
+    parts = ["'", "'", "s", "t", "m", "d", "re", "ve", "ll", "l", "r", "e", "X", "é", "ɏ", "7", "²", "!", " ", " ", "\n", "\xa0", "\x85", "y" * 90]
+    for _ in range(30):
+        texts = ["".join(rng.choice(parts, rng.integers(0, 16))) for _ in range(100)]
+        assert e.encode(texts) == [u32(library(x)) for x in texts]
+    assert e._old and len(e._kept) <= 500 + 16 * 100
+
+
 def test_rollup_commits_once(spark, tmp_path):
     r = token_rollup.Rollup(spark, str(tmp_path))
     base = spark.createDataFrame([("s", "en", 3), ("s", "en", 5), (None, "fr", None)], "source string, lang string, n long")
