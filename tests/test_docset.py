@@ -28,6 +28,19 @@ def test_content_is_sought_in_order():
     assert html.convert(page.replace("article>", "b>"))[1] == "other" and html.convert("<p>x</p>")[1] == ""
 
 
+def test_page_content_is_as_its_sql_has_it(spark, tmp_path):
+    import duckdb
+
+    ad = '<div class="ad">twenty &amp; chars &quot; and more</div>'
+    given = [None, "", "<p>x", "<title>t</title>", "<h1>a&quot;b &amp;amp; &lt;c&gt; d&amp</h1>", "<h1> \n T\u00a0</h1>", "<h1></h1>", f"<h1>{'&amp;' * 150}{'x' * 100}</h1>", "<h1><b>n</b></h1>", "<h1>&nbsp;&#65;\ue000</h1>", ad + "<article>t</article>", f"{ad}<article>x{ad}</article>", '<main><a href="x&amp;y">1</a></main>']
+    spark.createDataFrame([(k, f"https://a.org/{k}", x) for k, x in enumerate(given)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = sorted(c.execute(queries.ORACLES["page_content"]).fetchall())
+    assert sorted(tuple(x) for x in queries.QUERIES["page_content"](spark, str(tmp_path)).collect()) == want and want[4][1] == "a&quot;b &amp; <c> d&amp"
+    assert html.convert(given[4])[0] == 'a"b &amp; <c> d&' and html.convert(given[12], written=True)[2] == ["x&amp;y"]
+
+
 def test_pages_of_any_depth(spark):
     began = time.time()
     for tag in ("p", "div", "ul><li", "blockquote", "b", "table><tr><td"):
