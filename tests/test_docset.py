@@ -4,7 +4,9 @@ import hashlib
 import json
 import re
 import time
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,6 +55,24 @@ def test_pages_of_any_depth(spark):
     assert [x["url"] for x in plan.documents(pages).collect()] == ["https://a.org/x"]
 
 
+def test_workers_hold_few_pages(spark, tmp_path):
+    pages = pa.array([f"<main><p>{k}{'x' * 20_000}</p><a href='{k}'>y</a></main>" for k in range(1000)] + [None])
+    for f in (html.previews, html.links, html.page()):
+        n, last = 0, None
+        tracemalloc.start()
+        for part in f.func(iter([pages])):
+            n, last = n + len(part), part[-1].as_py()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert n == 1001 and peak < 8e6, peak  # of 20 MB of pages
+        assert last in ([], {"preview": "", "sanitized": ""}, {"title": "Untitled", "markdown": "", "links": [], "selector": "main", "error": None})
+
+    given = ["<h1>é</h1>", None, "", "<b>" + "y" * (html.PART + 5), "<script>x</script>z"] * 3
+    spark.createDataFrame(list(enumerate(given)), "page_id int, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    got = queries.QUERIES["html_preview"](spark, str(tmp_path)).collect()
+    assert {tuple(x) for x in got} == {(k, html.preview(x), html.sanitize(x)) for k, x in enumerate(given)} and len(got) == len(given)
+
+
 def test_a_page_that_fails_says_why(spark, monkeypatch):
     one = spark.createDataFrame([("<main>x</main>",)], "html string").select(html.page("main", (7,))("html").alias("p")).select("p.*").first()
     assert one["markdown"] is None and "Error" in one["error"]
